@@ -31,6 +31,7 @@ def register(key: str, sql: str | None = None):
 _MODULES = (
     "clickpair.plans.pair_queries",
     "clickpair.plans.rate_queries",
+    "clickpair.plans.vector_queries",
 )
 
 
