@@ -32,6 +32,7 @@ _MODULES = (
     "clickpair.plans.pair_queries",
     "clickpair.plans.rate_queries",
     "clickpair.plans.vector_queries",
+    "clickpair.plans.edit_queries",
 )
 
 

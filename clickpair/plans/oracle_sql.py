@@ -44,11 +44,12 @@ vector_pairs as (
 }
 
 
-def with_fixtures(names, body: str, extra: str = "") -> str:
-    """``with <fixtures>[, extra] <body>``."""
+def with_fixtures(names, body: str, extra: str = "", recursive: bool = False) -> str:
+    """``with [recursive] <fixtures>[, extra] <body>``."""
     if isinstance(names, str):
         names = [names]
     parts = [FIXTURE_SQL[n].strip() for n in names]
     if extra.strip():
         parts.append(extra.strip())
-    return "with " + ",\n".join(parts) + "\n" + body.strip()
+    head = "with recursive " if recursive else "with "
+    return head + ",\n".join(parts) + "\n" + body.strip()
