@@ -45,3 +45,40 @@ def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
         out = out.withColumn(dst, F.when(has_inner, F.col("_in_" + dst))
                              .otherwise(F.col("_succ")[src]))
     return out.drop("_rng", "_next_o", "_succ", *["_in_" + d for d in carry.values()])
+
+
+def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | None = None,
+                suffix: str = "_before") -> DataFrame:
+    """Exclusive running sums of ``values`` in ``order`` inside ``groups``.
+
+    A window ordered over the whole table (or over one hot group) runs in a
+    single task.  Here the ordering column is cut into ``n_ranges`` ranges at
+    approximate quantiles (a one-row aggregate, broadcast); every (group,
+    range) computes local running sums, the per-(group, range) totals give
+    each range its offset, and a join on (group, range) adds it back.  The
+    range id is a pure function of the value, so every branch of the plan
+    agrees on it.  ``order`` values should be distinct inside a group
+    (aggregate ties first).
+    """
+    values = [values] if isinstance(values, str) else list(values)
+    groups = list(groups)
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qs = [i / n for i in range(1, n)]
+    bounds = df.agg(F.percentile_approx(order, qs, 10000).alias("_bounds")) if qs else \
+        df.sparkSession.range(1).select(F.array().cast("array<double>").alias("_bounds"))
+    ranged = (df.crossJoin(F.broadcast(bounds))                      # one row
+              .withColumn("_rid", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
+              .drop("_bounds"))
+    local = Window.partitionBy(*groups, "_rid").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    with_local = ranged.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias("_l_" + v)
+                                      for v in values])
+    totals = ranged.groupBy(*groups, "_rid").agg(*[F.sum(v).alias("_t_" + v) for v in values])
+    prev = Window.partitionBy(*groups).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "_rid",
+                            *[F.coalesce(F.sum("_t_" + v).over(prev), F.lit(0)).alias("_o_" + v)
+                              for v in values])
+    out = with_local.join(offsets, [*groups, "_rid"])
+    for v in values:
+        out = out.withColumn(v + suffix, F.col("_l_" + v) + F.col("_o_" + v))
+    return out.drop("_rid", *["_l_" + v for v in values], *["_o_" + v for v in values])

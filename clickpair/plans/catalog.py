@@ -33,6 +33,7 @@ _MODULES = (
     "clickpair.plans.rate_queries",
     "clickpair.plans.vector_queries",
     "clickpair.plans.edit_queries",
+    "clickpair.plans.metric_queries",
 )
 
 
