@@ -34,6 +34,7 @@ _MODULES = (
     "clickpair.plans.vector_queries",
     "clickpair.plans.edit_queries",
     "clickpair.plans.metric_queries",
+    "clickpair.plans.prep_queries",
 )
 
 
