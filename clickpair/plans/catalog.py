@@ -35,6 +35,7 @@ _MODULES = (
     "clickpair.plans.edit_queries",
     "clickpair.plans.metric_queries",
     "clickpair.plans.prep_queries",
+    "clickpair.plans.embed_queries",
 )
 
 

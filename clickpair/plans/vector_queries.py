@@ -162,7 +162,8 @@ def q_char_tfidf_pair(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- distances
-def _dist_sql() -> str:
+def _dist_sql(fixture: str = "vector_pairs", prelude: str | None = None) -> str:
+    """Distance family over ``sc(pair_id, label, x, y)``; ``prelude`` defines ``sc``."""
     def S(e):
         return f"list_sum(list_transform(range(1, len(x) + 1), lambda i: {e}))"
     a, b = "x[i]", "y[i]"
@@ -192,8 +193,8 @@ def _dist_sql() -> str:
     }
     assert list(exprs) == list(DISTANCES)
     body = ",\n  ".join(f"{e} {n}" for n, e in exprs.items())
-    return with_fixtures("vector_pairs", f"select pair_id, label,\n  {body}\nfrom sc where x is not null and y is not null",
-                         extra="""
+    return with_fixtures(fixture, f"select pair_id, label,\n  {body}\nfrom sc where x is not null and y is not null",
+                         extra=prelude or """
 sc as (select pair_id, label,
   case when list_max(x_raw) > list_min(x_raw) then list_transform(x_raw, lambda v:
     (v::double - list_min(x_raw)::double) / (list_max(x_raw)::double - list_min(x_raw)::double) + 1) end x,
