@@ -36,6 +36,7 @@ _MODULES = (
     "clickpair.plans.metric_queries",
     "clickpair.plans.prep_queries",
     "clickpair.plans.embed_queries",
+    "clickpair.plans.ml_queries",
 )
 
 
