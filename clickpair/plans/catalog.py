@@ -37,6 +37,7 @@ _MODULES = (
     "clickpair.plans.prep_queries",
     "clickpair.plans.embed_queries",
     "clickpair.plans.ml_queries",
+    "clickpair.plans.io_queries",
 )
 
 
