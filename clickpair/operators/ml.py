@@ -213,6 +213,26 @@ def text_linear_pipeline(terms: str = "terms", label: str = "label", min_count:
                             LogisticRegression(featuresCol="features", labelCol=label, maxIter=epochs)])
 
 
+def intercept_only(train: DataFrame, score: DataFrame, label: str = "label",
+                   out: str = "prediction") -> DataFrame:
+    """The model a linear classifier reduces to without features: the training
+    positive rate for every row (one-row aggregate, broadcast)."""
+    prior = train.agg(F.avg(F.col(label).cast("double")).alias(out))
+    return score.crossJoin(F.broadcast(prior))
+
+
+def fit_text_linear(train: DataFrame, score: DataFrame, terms: str = "terms", label: str = "label",
+                    min_count: int = NGRAM_MIN_DF, epochs: int = TEXT_EPOCHS) -> DataFrame:
+    """Fit #130 on ``train`` and add ``prediction`` to ``score``; an empty
+    vocabulary (no term reaches ``min_count``) gives the intercept-only model."""
+    cv = count_vectorizer(terms, "features", min_count).fit(train)
+    if len(cv.vocabulary) == 0:
+        return intercept_only(train, score, label)
+    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=epochs)
+    m = lr.fit(cv.transform(train))
+    return positive_probability(m.transform(cv.transform(score)))
+
+
 def cv_ensemble(df: DataFrame, score_df: DataFrame, key: str = "pair_id", terms: str = "terms",
                 label: str = "label", chunk_size: int = 5_000_000, k: int = 5, C: float = 0.2,
                 min_df: int = NGRAM_MIN_DF):
@@ -234,6 +254,7 @@ def cv_ensemble(df: DataFrame, score_df: DataFrame, key: str = "pair_id", terms:
         chunk = stratified_kfold(ix.where(F.col("_chunk") == ch), k, key, label)
         chunk = cut_lineage(chunk)
         cv = count_vectorizer(terms, "features", min_df).fit(chunk)
+        empty = len(cv.vocabulary) == 0
         feat = cv.transform(chunk)
         test = cv.transform(score_df)
         for f in range(k):
@@ -241,11 +262,17 @@ def cv_ensemble(df: DataFrame, score_df: DataFrame, key: str = "pair_id", terms:
             n_tr = tr.count()
             if n_tr == 0:
                 continue
-            m = lr_l1(n_tr, C).fit(tr)
-            va = positive_probability(m.transform(feat.where(F.col("fold") == f)))
+            va_rows = feat.where(F.col("fold") == f)
+            if empty:     # no term reaches min_df: intercept-only model
+                va = intercept_only(tr, va_rows, label)
+                te = intercept_only(tr, test, label)
+            else:
+                m = lr_l1(n_tr, C).fit(tr)
+                va = positive_probability(m.transform(va_rows))
+                te = positive_probability(m.transform(test))
             a = auc(va, "prediction", label).first()["auc"]
             aucs.append((ch, f, a))
-            preds.append(positive_probability(m.transform(test)).select(key, "prediction"))
+            preds.append(te.select(key, "prediction"))
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)

@@ -38,6 +38,7 @@ _MODULES = (
     "clickpair.plans.embed_queries",
     "clickpair.plans.ml_queries",
     "clickpair.plans.io_queries",
+    "clickpair.plans.column_queries",
 )
 
 

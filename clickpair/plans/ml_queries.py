@@ -216,8 +216,9 @@ def q_train_text_linear(spark, sf_dir):
     """#130 linear text classifier on word 1-2-grams (min count 50, 25 passes)."""
     t = stratified_kfold(_text_terms(spark, sf_dir), 5)
     t = t.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
-    m = ML.text_linear_pipeline("terms", "label").fit(t.where(F.col("split") == "train"))
-    return ML.positive_probability(m.transform(t)).select("pair_id", "split", "label", "prediction")
+    t = cut_lineage(t)
+    scored = ML.fit_text_linear(t.where(F.col("split") == "train"), t, "terms", "label")
+    return scored.select("pair_id", "split", "label", "prediction")
 
 
 @register("train_mlp")
