@@ -49,4 +49,12 @@ def q_token_set_features(spark, sf_dir):
     return token_set_features(cleaned_pairs(spark, sf_dir))
 
 
+@register("pair_feature_table")
+def q_pair_feature_table(spark, sf_dir):
+    """Flagship: token-set, vector-space and edit features of every basket
+    pair in one plan (jobs A-C), ids and label kept."""
+    from clickpair.plans.features import pair_feature_table
+    return pair_feature_table(basket_pairs(spark, sf_dir), with_edit=True)
+
+
 __all__ = ["q_token_set_features", "cleaned_pairs", "F"]
