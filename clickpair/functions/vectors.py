@@ -23,10 +23,23 @@ def as_double(v) -> Column:
 
 
 def minmax_shift(v) -> Column:
-    """``(v − min)/(max − min) + 1`` per vector; NULL for a constant vector."""
+    """``(v − min)/(max − min) + 1`` per vector; NULL for a constant vector.
+
+    min and max come from one ``aggregate`` pass and reach the rescaling
+    lambda as variables of the finish function: an array-level expression
+    written inside a lambda would be re-evaluated for every element.
+    """
     v = as_double(v)
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.when(hi > lo, F.transform(v, lambda e: (e - lo) / (hi - lo) + 1))
+    init = F.struct(F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
+
+    def step(acc, e):
+        return F.struct(F.least(acc["lo"], e).alias("lo"), F.greatest(acc["hi"], e).alias("hi"))
+
+    def finish(acc):
+        lo, hi = acc["lo"], acc["hi"]
+        return F.when(hi > lo, F.transform(v, lambda e: (e - lo) / (hi - lo) + 1))
+
+    return F.aggregate(v, init, step, finish)
 
 
 def _sum(x, y, f) -> Column:

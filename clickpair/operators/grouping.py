@@ -44,9 +44,10 @@ def token_counts(df: DataFrame, text: str, keep=("pair_id",)) -> DataFrame:
     Counted inside the row (no shuffle): all tokens of a text live in one
     row already.  Quadratic in the token count of one text, which is short.
     """
-    toks = tokenize(text)
+    staged = df.select(*keep, tokenize(text).alias("_toks"))      # read inside the lambda
+    toks = F.col("_toks")
     counted = F.transform(
         F.array_distinct(toks),
         lambda x: F.struct(x.alias("token"), F.size(F.filter(toks, lambda y: y == x)).alias("n")))
-    return (df.select(*keep, F.explode(counted).alias("_tc"))
+    return (staged.select(*keep, F.explode(counted).alias("_tc"))
             .select(*keep, F.col("_tc.token").alias("token"), F.col("_tc.n").alias("n")))

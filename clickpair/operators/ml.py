@@ -39,12 +39,15 @@ AUGMENT_T = 2
 # ------------------------------------------------------------- vectorizers
 def ngram_terms(text) -> Column:
     """Word unigrams followed by bigrams ('a b') of the lower-cased text."""
-    tok = word_tokens(text)
-    bigrams = F.when(F.size(tok) >= 2,
-                     F.transform(F.sequence(F.lit(1), F.size(tok) - 1),
-                                 lambda i: F.concat_ws(" ", F.element_at(tok, i),
-                                                       F.element_at(tok, i + 1))))
-    return F.concat(tok, F.coalesce(bigrams, F.array().cast("array<string>")))
+    def finish(tok):
+        # ``tok`` is a lambda variable here, so the tokens are extracted once
+        n = F.size(tok)
+        bigrams = F.zip_with(F.slice(tok, 1, F.greatest(n - 1, F.lit(1))),
+                             F.slice(tok, 2, F.greatest(n - 1, F.lit(1))),
+                             lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(tok, F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>")))
+    return F.aggregate(F.array(word_tokens(text)), F.array().cast("array<string>"),
+                       lambda acc, t: t, finish)
 
 
 def term_document_frequency(df: DataFrame, key: str, terms: str) -> DataFrame:

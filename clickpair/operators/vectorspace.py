@@ -100,41 +100,55 @@ def impute_mean(df: DataFrame, cols) -> DataFrame:
     return out.drop(*["_mean_" + c for c in cols])
 
 
-def text_stats_columns(text: Column, name: str) -> list[Column]:
+def text_stats_columns(toks: Column, name: str) -> list[Column]:
     """tf, idf and tf·idf of every distinct token of one text: max and mean.
 
     tf = c/L, idf = log10(L/c) with c the token count and L the token total
-    (``split(' ')``, empty token included, case kept).
+    (``split(' ')``, empty token included, case kept).  ``toks`` must be a
+    projected column: it is read inside lambdas.
     """
-    toks = tokenize(text)
     L = F.size(toks).cast("double")
     cs = F.transform(F.array_distinct(toks), lambda x: _count_in(toks, x).cast("double"))
-    tf = F.transform(cs, lambda c: c / L)
-    idf = F.transform(cs, lambda c: F.log10(L / c))
-    tfidf = F.transform(cs, lambda c: (c / L) * F.log10(L / c))
 
-    def mean(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-
-    return [F.array_max(tf).alias(f"{name}_tf_max"), mean(tf).alias(f"{name}_tf_mean"),
-            F.array_max(idf).alias(f"{name}_idf_max"), mean(idf).alias(f"{name}_idf_mean"),
-            F.array_max(tfidf).alias(f"{name}_tfidf_max"), mean(tfidf).alias(f"{name}_tfidf_mean")]
+    def stats(f):
+        # one pass over the counts; L and the number of distinct tokens travel
+        # in the accumulator (nothing array-valued is read inside the lambdas)
+        init = F.struct(F.lit(float("-inf")).alias("mx"), F.lit(0.0).alias("s"),
+                        F.lit(0).alias("k"), L.alias("L"))
+        return F.aggregate(
+            cs, init,
+            lambda a, c: F.struct(F.greatest(a["mx"], f(c, a["L"])).alias("mx"),
+                                  (a["s"] + f(c, a["L"])).alias("s"), (a["k"] + 1).alias("k"),
+                                  a["L"].alias("L")),
+            lambda a: F.struct(a["mx"].alias("mx"), (a["s"] / a["k"]).alias("mean")))
+
+    tf = stats(lambda c, n: c / n)
+    idf = stats(lambda c, n: F.log10(n / c))
+    tfidf = stats(lambda c, n: (c / n) * F.log10(n / c))
+    return [tf["mx"].alias(f"{name}_tf_max"), tf["mean"].alias(f"{name}_tf_mean"),
+            idf["mx"].alias(f"{name}_idf_max"), idf["mean"].alias(f"{name}_idf_mean"),
+            tfidf["mx"].alias(f"{name}_tfidf_max"), tfidf["mean"].alias(f"{name}_tfidf_mean")]
 
 
 def text_stats(df: DataFrame, q: str = "query", t: str = "title", keep=("pair_id",)) -> DataFrame:
     """#86-#88 for the query, the title, and ``query + ' ' + title``."""
-    qt = F.concat_ws(" ", F.col(q), F.col(t))
-    return df.select(*keep, *text_stats_columns(F.col(q), "query"),
-                     *text_stats_columns(F.col(t), "title"),
-                     *text_stats_columns(qt, "query_title"))
+    toks = df.select(*keep, tokenize(F.col(q)).alias("_tq"), tokenize(F.col(t)).alias("_tt"))
+    toks = toks.withColumn("_tqt", F.concat("_tq", "_tt"))     # split(q + ' ' + t)
+    return toks.select(*keep, *text_stats_columns(F.col("_tq"), "query"),
+                       *text_stats_columns(F.col("_tt"), "title"),
+                       *text_stats_columns(F.col("_tqt"), "query_title"))
 
 
 # ------------------------------------------------------------------ corpus
-def char_ngrams(text: Column, n_max: int = 2) -> Column:
-    """Distinct character 1..n_max-grams of the lower-cased text with runs of
-    two or more whitespace characters collapsed to one space."""
-    s = F.regexp_replace(F.lower(text), "\\s\\s+", " ")
+def normalise_chars(text: Column) -> Column:
+    """Lower-cased text with runs of two or more whitespace characters
+    collapsed to one space (the character analyzer's preprocessing)."""
+    return F.regexp_replace(F.lower(text), "\\s\\s+", " ")
+
 
+def char_ngrams(s: Column, n_max: int = 2) -> Column:
+    """Distinct character 1..n_max-grams of an already normalised, projected
+    text column ``s`` (it is read inside the lambda)."""
     def grams(n: int) -> Column:
         # sequence(1, 0) is [1, 0]: guard texts shorter than n
         g = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
@@ -151,7 +165,7 @@ def char_tfidf_stats(df: DataFrame, text, name: str, key: str = "pair_id") -> Da
 
     The vocabulary, N and |V| come from the same column (fit = transform).
     """
-    docs = df.select(key, _c(text).alias("_txt"))
+    docs = df.select(key, normalise_chars(_c(text)).alias("_txt"))
     grams = docs.select(key, F.explode(char_ngrams(F.col("_txt"))).alias("g"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("_N"))
     dfreq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
