@@ -84,7 +84,7 @@ def q_stream_key_rates(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     q, out = jobs.key_stats_stream(spark, path, schema, "key1", transform=_clicks_transform)
     q.awaitTermination()
-    return jobs.rates_from_stats(spark.read.parquet(out), "key1")
+    return jobs.rates_from_stats(jobs.current_key_stats(spark, out, "key1"), "key1")
 
 
 @register("stream_pair_features")

@@ -40,12 +40,16 @@ def _trigger(w, available_now: bool, interval: str):
 
 def key_stats_stream(spark: SparkSession, source: str, schema, keys, label: str = "label",
                      transform=None, out: str | None = None, available_now: bool = True,
-                     interval: str = "1 minute", run: str | None = None):
+                     interval: str = "1 minute", run: str | None = None, mode: str = "update"):
     """Running ``count`` and ``clicks`` per key over arriving rows.
 
-    The aggregation state (one row per key) is kept by the state store; each
-    micro-batch writes the complete table with ``foreachBatch`` (overwrite),
-    so readers always see a consistent snapshot.  Returns (query, out path).
+    The aggregation state (one row per key) lives in the state store.  In
+    ``update`` mode (default) each micro-batch emits only the keys it changed
+    and appends them as partition ``epoch=<batch id>`` with dynamic partition
+    overwrite, so a retried batch replaces its own partition and nothing else;
+    ``current_key_stats`` reads the latest value per key.  ``complete`` mode
+    rewrites the whole table every batch (simple, but proportional to the
+    number of keys).  Returns (query, out path).
     """
     base = _stream_dir(spark, "key_rates", run)
     out = out or os.path.join(base, "table")
@@ -58,14 +62,34 @@ def key_stats_stream(spark: SparkSession, source: str, schema, keys, label: str
            .agg(F.count(F.lit(1)).alias(f"{p}_count"),
                 F.sum(label).cast("long").alias(f"{p}_click_number")))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    w = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    if mode == "complete":
+        def write(batch: DataFrame, _epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(out)
+    elif mode == "update":
+        def write(batch: DataFrame, epoch: int) -> None:
+            (batch.withColumn("epoch", F.lit(epoch).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("epoch").parquet(out))
+    else:
+        raise ValueError(mode)
+
+    w = (agg.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", os.path.join(base, "checkpoint")))
     return _trigger(w, available_now, interval).start(), out
 
 
+def current_key_stats(spark: SparkSession, out: str, keys) -> DataFrame:
+    """Latest (count, clicks) per key from a ``key_stats_stream`` table."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    p = rates.prefix(ks)
+    df = spark.read.parquet(out)
+    if "epoch" not in df.columns:
+        return df
+    vals = F.struct(f"{p}_count", f"{p}_click_number")
+    return (df.groupBy(*ks).agg(F.max_by(vals, "epoch").alias("_v"))
+            .select(*ks, f"_v.{p}_count", f"_v.{p}_click_number"))
+
+
 def rates_from_stats(stats: DataFrame, keys) -> DataFrame:
     """Smoothed rate table from streamed (count, clicks) per key."""
     ks = [keys] if isinstance(keys, str) else list(keys)

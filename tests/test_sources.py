@@ -31,3 +31,27 @@ def test_predictions_round_trip(spark):
     sinks.sink_predictions(df, d + "/p")
     back = sorted(tuple(r) for r in sinks.read_predictions(spark, d + "/p").collect())
     assert back == [(1, 10, 0.25), (2, 20, 0.125)]
+
+
+def test_stream_update_mode_two_batches(spark):
+    """Two files arrive in two micro-batches; the latest value per key wins."""
+    import os
+    from pyspark.sql import functions as F
+    from clickpair.streaming import jobs
+    d = tempfile.mkdtemp(prefix="clickpair-stream-")
+    src = os.path.join(d, "in")
+    a = spark.createDataFrame([(1, "x", 1), (2, "x", 0), (3, "y", 1)], "pair_id long, k string, label int")
+    a.write.parquet(os.path.join(src, "part1"))
+    schema = a.schema
+    run = "fixed"
+    q, out = jobs.key_stats_stream(spark, os.path.join(src, "*"), schema, "k", run=run)
+    q.awaitTermination()
+    b = spark.createDataFrame([(4, "x", 1)], "pair_id long, k string, label int")
+    b.write.parquet(os.path.join(src, "part2"))
+    q, out2 = jobs.key_stats_stream(spark, os.path.join(src, "*"), schema, "k", run=run)
+    q.awaitTermination()
+    assert out == out2
+    got = {r["k"]: (r["k_count"], r["k_click_number"])
+           for r in jobs.current_key_stats(spark, out, "k").collect()}
+    assert got == {"x": (3, 2), "y": (1, 1)}
+    assert spark.read.parquet(out).select("epoch").distinct().count() == 2
