@@ -113,13 +113,84 @@ def q_ratio_padded(spark, sf_dir):
                     .cast("float").alias("ratio_padded"))
 
 
-@register("list_dis")
+def _seq_ratio_sql(src: str) -> str:
+    """CTEs computing ``sr(pair_id, list_dis)`` over ``src(pair_id, a, b)``:
+    character LCS of every distinct token pair (recursive rows), a per-pair
+    substitution-cost matrix, then the token-level edit distance row by row
+    with new[j] = min over k <= j of (c[k] + j - k)."""
+    return f"""
+tp as (select pair_id, string_split(a, ' ') q, string_split(b, ' ') t from {src}),
+tpair as (select distinct tp.q[qi.i] x, tp.t[tk.k] y from tp,
+            unnest(generate_series(1, len(tp.q))) qi(i), unnest(generate_series(1, len(tp.t))) tk(k)),
+tl(x, y, i, rw) as (
+  select x, y, 0, list_transform(range(0, length(y) + 1), lambda z: 0) from tpair
+  union all
+  select tl.x, tl.y, tl.i + 1,
+    list_transform(range(0, length(tl.y) + 1), lambda j:
+      greatest(tl.rw[j + 1], coalesce(list_max(list_transform(
+        list_filter(range(1, j + 1), lambda k: substr(tl.y, k, 1) = substr(tl.x, tl.i + 1, 1)),
+        lambda k: tl.rw[k] + 1)), 0)))
+  from tl where tl.i < length(tl.x)),
+tcost as (select x, y, case when x = y then 0.0
+            else 2.0 * (1.0 - 2.0 * rw[length(y) + 1] / (length(x) + length(y))) end c
+          from tl where i = length(x)),
+cell as (select tp.pair_id, qi.i, tk.k, tcost.c from tp,
+           unnest(generate_series(1, len(tp.q))) qi(i), unnest(generate_series(1, len(tp.t))) tk(k),
+           tcost where tcost.x = tp.q[qi.i] and tcost.y = tp.t[tk.k]),
+crow as (select pair_id, i, list(c order by k) cr from cell group by pair_id, i),
+cmat as (select tp.pair_id, len(tp.q) n1, len(tp.t) n2,
+                list(crow.cr order by crow.i) m from tp join crow using (pair_id)
+         group by tp.pair_id, len(tp.q), len(tp.t)),
+sd(pair_id, i, rw) as (
+  select pair_id, 0, list_transform(range(0, n2 + 1), lambda j: j::double) from cmat
+  union all
+  select sd.pair_id, sd.i + 1,
+    list_transform(range(0, cmat.n2 + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
+      (case when k = 0 then (sd.i + 1)::double
+            else least(sd.rw[k + 1] + 1, sd.rw[k] + cmat.m[sd.i + 1][k]) end) + j - k)))
+  from sd join cmat using (pair_id) where sd.i < cmat.n1),
+sr as (select cmat.pair_id, (cmat.n1 + cmat.n2 - sd.rw[cmat.n2 + 1]) / (cmat.n1 + cmat.n2) list_dis
+       from sd join cmat using (pair_id) where sd.i = cmat.n1)"""
+
+
+@register("list_dis", _q("select pair_id, cast(list_dis as float) list_dis from sr",
+                         extra=_CLEANED + "," + _seq_ratio_sql("cp"), recursive=True))
 def q_list_dis(spark, sf_dir):
-    """#80 token-sequence similarity (no SQL form; checked against a Python DP in tests)."""
+    """#80 token-sequence similarity ratio (token substitution costs 2·(1 − indel ratio))."""
     return _cleaned(spark, sf_dir).select("pair_id", E.seq_ratio_udf("a", "b").cast("float").alias("list_dis"))
 
 
-@register("edit_features")
+def _edit_all_sql(fixture: str, cleaned: bool) -> str:
+    """Every §2.9 column over ``fixture``, cleaned to digits or raw."""
+    if cleaned:
+        src = _CLEANED
+    else:
+        src = f"\ncp as (select pair_id, query a, title b from {fixture})"
+    lcs = _LCS.replace(_CLEANED, src)
+    body = f"""
+select cp.pair_id, lcs.l lcseque_lens,
+  cast(coalesce(list_max(flatten(list_transform(range(1, length(cp.a) + 1), lambda i:
+         list_transform(range(1, length(cp.a) - i + 2), lambda n:
+           case when contains(cp.b, substr(cp.a, i, n)) then n else 0 end)))), 0) as int) lcsubstr_lens,
+  cast(case when length(cp.a) + length(cp.b) = 0 then 1.0
+       else 2.0 * lcs.l / (length(cp.a) + length(cp.b)) end as float) ratio,
+  cast(case when length(cp.a) = 0 then length(cp.b) when length(cp.b) = 0 then length(cp.a)
+       else (2.0 + 2.0 * lcs.l) / (length(cp.a) + length(cp.b) + 2) end as float) ratio_padded,
+  {_JARO.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")} jaro,
+  {_JW.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")} jaro_winkler,
+  cast(levenshtein(cp.a, cp.b) as int) levenshtein,
+  cast(sr.list_dis as float) list_dis,
+  cast(({_JARO.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double
+        + {_JW.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double) / 2 as float) jaroWinkler_jaro_mean,
+  cast({_JARO.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double
+       * {_JW.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double as float) jaroWinkler_jaro_product,
+  cast(abs({_JARO.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double
+       - {_JW.strip().replace("a = b", "cp.a = cp.b").replace("(a, b)", "(cp.a, cp.b)")}::double) as float) jaroWinkler_jaro_subtraction
+from cp join lcs using (pair_id) left join sr using (pair_id)"""
+    return with_fixtures(fixture, body, extra=lcs + "," + _seq_ratio_sql("cp"), recursive=True)
+
+
+@register("edit_features", _edit_all_sql("basket_pairs", True))
 def q_edit_features(spark, sf_dir):
     """§2.9 all at once on the digit-cleaned basket pairs (one Arrow pass)."""
     return E.edit_features(cleaned_pairs(spark, sf_dir))
@@ -127,5 +198,7 @@ def q_edit_features(spark, sf_dir):
 
 @register("edit_features_prose")
 def q_edit_features_prose(spark, sf_dir):
-    """§2.9 on the prose pairs (64-character heads), uncleaned."""
+    """§2.9 on the prose pairs (64-character heads), uncleaned.  No oracle:
+    DuckDB's levenshtein and Jaro functions count bytes, these count
+    characters; tests check the kernels on Unicode text by brute force."""
     return E.edit_features(dialogue_pairs(spark, sf_dir))
