@@ -147,27 +147,36 @@ def augment_shuffle(df: DataFrame, cols: Sequence[str], key: str = "pair_id", la
                     t: int = AUGMENT_T, seed: int = 2019) -> DataFrame:
     """Append ``t`` copies of the positive rows and ``t // 2`` of the negative
     rows in which every feature column is permuted independently inside its
-    class.  Row r of copy j takes column c from the row whose rank under the
-    hash (seed, j, c) is r; ranks come from range-split prefix sums, and each
-    column is attached with an equi-join on (class, copy, rank)."""
-    base = df.select(key, label, *cols).withColumn("_one", F.lit(1).cast("long"))
-    copies = []
-    for cls, n_copies in ((1, t), (0, t // 2)):
-        part = base.where(F.col(label) == cls)
-        for j in range(n_copies):
-            own = prefix_sums(part.withColumn("_h", seeded_hash(key, seed * 1000 + j)), "_h", "_one")
-            rows = own.select(F.col("_one_before").alias("_r"))
-            for ci, c in enumerate(cols):
-                src = prefix_sums(part.withColumn("_h", seeded_hash(key, seed * 1000 + j * 97 + ci + 1)),
-                                  "_h", "_one").select(F.col("_one_before").alias("_r"), F.col(c))
-                rows = rows.join(src, "_r")
-            copies.append(rows.select(F.lit(None).cast("long").alias(key),
-                                      F.lit(cls).cast(df.schema[label].dataType).alias(label),
-                                      *cols, F.lit(j + 1).alias("copy")))
-    out = df.select(key, label, *cols).withColumn("copy", F.lit(0))
-    for c in copies:
-        out = out.unionByName(c)
-    return out
+    class.  Copy j takes column c of its row r from the row ranked r under the
+    hash (seed, j, c).
+
+    One pass for all permutations: every row is emitted once per (copy,
+    column), all orderings are ranked together by one grouped ``prefix_sums``
+    (group = class, copy, column), and one aggregation on (class, copy, rank)
+    reassembles the copies.
+    """
+    cols = list(cols)
+    pos = [(j, ci) for j in range(t) for ci in range(len(cols))]
+    neg = [(j, ci) for j in range(t // 2) for ci in range(len(cols))]
+
+    def orders(pairs):
+        return F.array(*[F.struct(F.lit(j).alias("copy"), F.lit(ci).alias("ci"),
+                                  seeded_hash(key, seed * 1000 + j * 97 + ci + 1).alias("h"))
+                         for j, ci in pairs]) if pairs else F.array().cast(
+            "array<struct<copy:int,ci:int,h:bigint>>")
+
+    rows = df.select(key, label, F.struct(*cols).alias("_row"))
+    ex = (rows.select(label, "_row",
+                      F.explode(F.when(F.col(label) == 1, orders(pos)).otherwise(orders(neg))).alias("_o"))
+          .select(label, "_row", F.col("_o.copy").alias("_copy"), F.col("_o.ci").alias("_ci"),
+                  F.col("_o.h").alias("_h"), F.lit(1).cast("long").alias("_one")))
+    ranked = prefix_sums(ex, "_h", "_one", groups=[label, "_copy", "_ci"])
+    copies = (ranked.groupBy(label, "_copy", F.col("_one_before").alias("_r"))
+              .agg(*[F.max(F.when(F.col("_ci") == ci, F.col("_row")[c])).alias(c)
+                     for ci, c in enumerate(cols)]))
+    aug = copies.select(F.lit(None).cast("long").alias(key), F.col(label).cast(df.schema[label].dataType),
+                        *cols, (F.col("_copy") + 1).alias("copy"))
+    return df.select(key, label, *cols).withColumn("copy", F.lit(0)).unionByName(aug)
 
 
 # ------------------------------------------------------------- models

@@ -137,7 +137,28 @@ def q_pca(spark, sf_dir):
     return ML.standardize(wide, cols).select("pair_id", F.array(*cols).alias("pca"))
 
 
-@register("augment_shuffle")
+def _augment_sql(cols=("query_len", "title_len", "jaccard"), t=2, seed=2019) -> str:
+    def h(sd):
+        return f"('0x' || substr(md5('{sd}:' || cast(pair_id as varchar)), 1, 15))::bigint"
+    parts = [f"select pair_id, label, {', '.join(cols)}, 0 copy from base"]
+    for cls, n in ((1, t), (0, t // 2)):
+        for j in range(n):
+            sub = [f"(select row_number() over (order by {h(seed * 1000 + j)}) - 1 r "
+                   f"from base where label = {cls}) r0"]
+            for ci, c in enumerate(cols):
+                sub.append(f"join (select row_number() over (order by {h(seed * 1000 + j * 97 + ci + 1)}) - 1 r, {c} "
+                           f"from base where label = {cls}) c{ci} using (r)")
+            parts.append(f"select null::bigint pair_id, {cls} label, {', '.join(f'c{ci}.{c}' for ci, c in enumerate(cols))}, "
+                         f"{j + 1} copy from {' '.join(sub)}")
+    return f"""
+with base as (select f.pair_id, b.label, {', '.join('f.' + c for c in cols)}
+              from ({TOKEN_SET_SQL}) f
+              join (select o_orderkey pair_id, cast(o_orderstatus = 'F' as int) label from orders) b
+              using (pair_id))
+""" + "\nunion all\n".join(parts)
+
+
+@register("augment_shuffle", _augment_sql())
 def q_augment_shuffle(spark, sf_dir):
     """#123 oversampling with per-class column permutation (t = 2)."""
     f = q_token_set_features(spark, sf_dir).join(
