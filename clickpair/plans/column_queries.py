@@ -20,6 +20,11 @@ def _project(job: str, cols: list[str], keep=("pair_id",)):
     return q, sql
 
 
+# the flagship's oracle joins the oracles of its component jobs
+from clickpair.plans.pair_queries import _pair_feature_sql  # noqa: E402
+
+ORACLE["pair_feature_table"] = _pair_feature_sql()
+
 for _c in TOKEN_SET_FEATURES:
     _fn, _sql = _project("token_set_features", [_c])
     register(_c, _sql)(_fn)

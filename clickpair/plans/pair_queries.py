@@ -49,6 +49,20 @@ def q_token_set_features(spark, sf_dir):
     return token_set_features(cleaned_pairs(spark, sf_dir))
 
 
+def _pair_feature_sql() -> str:
+    from clickpair.plans.catalog import ORACLE
+    edit_cols = ["lcseque_lens", "lcsubstr_lens", "ratio", "jaro", "jaro_winkler", "levenshtein",
+                 "list_dis"]
+    return with_fixtures("basket_pairs", f"""
+select b.pair_id, b.query_id, b.title_id, b.label, f.* exclude (pair_id),
+       c.cosine_similarity, p.pearson, {', '.join('e.' + c for c in edit_cols)}
+from basket_pairs b
+join ({TOKEN_SET_SQL}) f using (pair_id)
+join ({ORACLE['cosine_similarity']}) c using (pair_id)
+join ({ORACLE['impute_mean']}) p using (pair_id)
+join ({ORACLE['edit_features']}) e using (pair_id)""")
+
+
 @register("pair_feature_table")
 def q_pair_feature_table(spark, sf_dir):
     """Flagship: token-set, vector-space and edit features of every basket

@@ -26,4 +26,4 @@ def test_rows_only_runs(spark, key):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert "jaccard" in df.columns
+    assert "jaccard" in df.columns and "list_dis" in df.columns
