@@ -20,6 +20,19 @@ _DEFAULTS = {
 }
 
 
+# Applied on a cluster (non-local master) when the setting is absent: start
+# with many shuffle partitions and let AQE coalesce them to ~256 MiB, read
+# 256 MiB file splits, and split skewed join partitions above 5x the median.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(app: str = "clickpair", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -34,6 +47,12 @@ def get_spark(app: str = "clickpair", master: str | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        for k, v in CLUSTER_DEFAULTS.items():
+            if spark.conf.get(k, None) in (None, "") or (k == "spark.sql.shuffle.partitions"
+                                                          and not shuffle_partitions
+                                                          and spark.conf.get(k) == "200"):
+                spark.conf.set(k, v)
     checkpoint_dir(spark)
     return spark
 
