@@ -48,10 +48,10 @@ def get_spark(app: str = "clickpair", master: str | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if not (spark.sparkContext.master or "").startswith("local"):
+        explicit = spark.sparkContext.getConf()          # only keys someone set
         for k, v in CLUSTER_DEFAULTS.items():
-            if spark.conf.get(k, None) in (None, "") or (k == "spark.sql.shuffle.partitions"
-                                                          and not shuffle_partitions
-                                                          and spark.conf.get(k) == "200"):
+            if not explicit.contains(k) and not (k == "spark.sql.shuffle.partitions"
+                                                 and shuffle_partitions):
                 spark.conf.set(k, v)
     checkpoint_dir(spark)
     return spark
