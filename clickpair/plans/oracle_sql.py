@@ -24,13 +24,13 @@ basket_pairs as (
   from o where nxt is not null)""",
     "dialogue_pairs": """
 dialogue_pairs as (
-  select a.conv_id * 1000 + a.turn pair_id, u.conv_id query_id, substr(u.text, 1, 64) query,
-         a.turn title_id, substr(a.text, 1, 64) title, cast(length(a.text) > 1000 as int) as label
+  select a.conv_id * 1000 + a.turn pair_id, u.conv_id query_id, u.text query,
+         a.turn title_id, a.text title, cast(length(a.text) > 1000 as int) as label
   from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
   where u.role = 'user' and a.role = 'assistant')""",
     "labelled_docs": """
 labelled_docs as (
-  select d.doc_id pair_id, d.source, d.lang, substr(d.text, 1, 64) head, l.quality as label
+  select d.doc_id pair_id, d.source, d.lang, d.text, l.quality as label
   from documents d join labels l using (doc_id))""",
     "clicks": """
 clicks as (

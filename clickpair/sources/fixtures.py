@@ -1,7 +1,7 @@
 """Pair tables derived from the driver's tables (see FIXTURES.md).
 
 F1 ``basket_pairs``   numeric-token pairs: consecutive orders of a customer
-F2 ``dialogue_pairs`` prose pairs: user turn -> next assistant turn
+F2 ``dialogue_pairs`` prose pairs: user turn -> next assistant turn (whole texts)
 F3 ``labelled_docs``  documents with a quality label
 F4 ``clicks``         events as (key1, key2, label)
 F5 ``vector_pairs``   consecutive embeddings
@@ -52,7 +52,7 @@ def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user turn and the following assistant turn, 64-character heads."""
+    """user turn and the following assistant turn, whole texts."""
     c = table(spark, sf_dir, "conversations")
     u = c.where(F.col("role") == "user").select(
         F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("text").alias("u_text"))
@@ -61,9 +61,9 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = u.join(a, (a.a_conv == u.u_conv) & (a.a_turn == u.u_turn + 1))
     return j.select((F.col("a_conv") * 1000 + F.col("a_turn")).alias("pair_id"),
                     F.col("u_conv").alias("query_id"),
-                    F.substring("u_text", 1, 64).alias("query"),
+                    F.col("u_text").alias("query"),
                     F.col("a_turn").alias("title_id"),
-                    F.substring("a_text", 1, 64).alias("title"),
+                    F.col("a_text").alias("title"),
                     (F.length("a_text") > 1000).cast("int").alias("label"))
 
 
@@ -72,8 +72,7 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (d.join(lab, "doc_id")
-            .select(F.col("doc_id").alias("pair_id"), "source", "lang",
-                    F.substring("text", 1, 64).alias("head"),
+            .select(F.col("doc_id").alias("pair_id"), "source", "lang", "text",
                     F.col("quality").alias("label")))
 
 

@@ -43,7 +43,8 @@ def test_stream_update_mode_two_batches(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, "x", 0), (3, "y", 1)], "pair_id long, k string, label int")
     a.write.parquet(os.path.join(src, "part1"))
     schema = a.schema
-    run = "fixed"
+    import uuid
+    run = uuid.uuid4().hex          # fresh state and checkpoint per test run
     q, out = jobs.key_stats_stream(spark, os.path.join(src, "*"), schema, "k", run=run)
     q.awaitTermination()
     b = spark.createDataFrame([(4, "x", 1)], "pair_id long, k string, label int")
