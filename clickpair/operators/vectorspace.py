@@ -147,13 +147,22 @@ def normalise_chars(text: Column) -> Column:
 
 
 def char_ngrams(s: Column, n_max: int = 2) -> Column:
-    """Distinct character 1..n_max-grams of an already normalised, projected
-    text column ``s`` (it is read inside the lambda)."""
+    """Distinct character 1..n_max-grams of an already normalised text.
+
+    Characters (code points) are extracted once; an n-gram is ``n`` shifted
+    slices zipped together, so the cost is linear in the text length
+    (``substring(s, i, n)`` per position would rescan the UTF-8 string).
+    """
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), 0)
+
     def grams(n: int) -> Column:
-        # sequence(1, 0) is [1, 0]: guard texts shorter than n
-        g = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
-                        lambda i: F.substring(s, i, n))
-        return F.when(F.length(s) >= n, g).otherwise(F.array().cast("array<string>"))
+        if n == 1:
+            return chars
+        k = F.greatest(F.size(chars) - n + 1, F.lit(0))
+        g = F.slice(chars, 1, k)
+        for off in range(1, n):
+            g = F.zip_with(g, F.slice(chars, 1 + off, k), lambda a, b: F.concat(a, b))
+        return g
 
     return F.array_distinct(F.concat(*[grams(n) for n in range(1, n_max + 1)]))
 
