@@ -29,9 +29,8 @@ def pair_feature_table(pairs: DataFrame, keep=("pair_id", "query_id", "title_id"
         p = p.withColumn("query", clean_digits("query")).withColumn("title", clean_digits("title"))
     staged = token_set_counts(p).select("*", vs.lower_tokens(F.col("query")).alias("_lq"),
                                         vs.lower_tokens(F.col("title")).alias("_lt"))
-    m = vs.count_moments(F.col("_lq"), F.col("_lt"))
-    staged = staged.select("*", *[v.alias("_m_" + k) for k, v in m.items()])
-    mm = {k: F.col("_m_" + k) for k in m}
+    staged = vs.add_count_moments(staged, "_lq", "_lt", prefix="_m_")
+    mm = {k: F.col("_m_" + k) for k in ("sx", "sy", "sxx", "syy", "sxy", "n")}
     cos = vs.cosine_from_moments(mm["sxy"], mm["sxx"], mm["syy"])
     cols = [*keep, *token_set_columns(),  # the _m_ moments are projected, _lq/_lt dropped
             F.bround(cos, 2).cast("float").alias("cosine_similarity"),

@@ -162,3 +162,23 @@ def test_auc_separable(spark):
     assert M.auc(df, "score", "label").first()["auc"] == pytest.approx(1.0)
     tied = spark.range(10).select(F.lit(0.5).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
     assert M.auc(tied, "score", "label").first()["auc"] == pytest.approx(0.5)
+
+
+def test_sorted_counts_equal_quadratic(spark):
+    """Long texts take the sort-based count path; it must equal plain counting."""
+    import random
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        n1, n2 = rng.randint(0, 120), rng.randint(0, 120)
+        q = " ".join(rng.choice("a b c d e f g".split()) for _ in range(n1))
+        t = " ".join(rng.choice("a b c d x y".split()) for _ in range(n2))
+        rows.append((i, q, t))
+    df = spark.createDataFrame(rows, "pair_id long, query string, title string")
+    got = {r["pair_id"]: r for r in vs.vector_space_features(df).collect()}
+    for pid, q, t in rows:
+        assert got[pid]["cosine_similarity_raw"] == pytest.approx(py_cosine(q, t), abs=1e-12), pid
+        p = py_pearson(q, t)
+        assert (got[pid]["pearson"] is None) == (p is None), pid
+        if p is not None:
+            assert got[pid]["pearson"] == pytest.approx(p, abs=1e-9), pid
