@@ -42,12 +42,9 @@ def token_counts(df: DataFrame, text: str, keep=("pair_id",)) -> DataFrame:
     """(keep..., token, n) per distinct token of ``split(text, ' ')``.
 
     Counted inside the row (no shuffle): all tokens of a text live in one
-    row already.  Quadratic in the token count of one text, which is short.
+    row already; sorting and run lengths make it O(n log n) per text.
     """
-    staged = df.select(*keep, tokenize(text).alias("_toks"))      # read inside the lambda
-    toks = F.col("_toks")
-    counted = F.transform(
-        F.array_distinct(toks),
-        lambda x: F.struct(x.alias("token"), F.size(F.filter(toks, lambda y: y == x)).alias("n")))
-    return (staged.select(*keep, F.explode(counted).alias("_tc"))
+    from clickpair.operators.vectorspace import add_run_counts
+    staged = add_run_counts(df.select(*keep, tokenize(text).alias("_toks")), "_toks", "_runs")
+    return (staged.select(*keep, F.explode("_runs").alias("_tc"))
             .select(*keep, F.col("_tc.token").alias("token"), F.col("_tc.n").alias("n")))

@@ -144,15 +144,33 @@ def impute_mean(df: DataFrame, cols) -> DataFrame:
     return out.drop(*["_mean_" + c for c in cols])
 
 
-def text_stats_columns(toks: Column, name: str) -> list[Column]:
+def add_run_counts(df: DataFrame, arr: str, out: str) -> DataFrame:
+    """Append ``out``: array of struct(token, n), one per distinct element of
+    the array column ``arr`` (sorted order), in O(n log n): sort once, find
+    where runs of equal elements start, take run lengths."""
+    d = df.select("*", F.array_sort(arr).alias("_rs"))
+    srt = F.col("_rs")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(srt), F.lit(1))),
+                      lambda i: (i == 1) | (F.element_at(srt, i)
+                                            != F.element_at(srt, F.greatest(i - 1, F.lit(1)))))
+    d = d.select("*", F.when(F.size(srt) > 0, starts)
+                 .otherwise(F.array().cast("array<int>")).alias("_rst"))
+    st = F.col("_rst")
+    ends = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(F.size(srt) + 1))
+    runs = F.zip_with(st, ends, lambda a, b: F.struct(F.element_at(srt, a).alias("token"),
+                                                      (b - a).alias("n")))
+    return d.select("*", runs.alias(out)).drop("_rs", "_rst")
+
+
+def text_stats_columns(toks: Column, name: str, runs: Column) -> list[Column]:
     """tf, idf and tf·idf of every distinct token of one text: max and mean.
 
     tf = c/L, idf = log10(L/c) with c the token count and L the token total
-    (``split(' ')``, empty token included, case kept).  ``toks`` must be a
-    projected column: it is read inside lambdas.
+    (``split(' ')``, empty token included, case kept).  ``runs`` holds the
+    (token, c) pairs from ``add_run_counts``.
     """
     L = F.size(toks).cast("double")
-    cs = F.transform(F.array_distinct(toks), lambda x: _count_in(toks, x).cast("double"))
+    cs = F.transform(runs, lambda r: r["n"].cast("double"))
 
     def stats(f):
         # one pass over the counts; L and the number of distinct tokens travel
@@ -178,9 +196,11 @@ def text_stats(df: DataFrame, q: str = "query", t: str = "title", keep=("pair_id
     """#86-#88 for the query, the title, and ``query + ' ' + title``."""
     toks = df.select(*keep, tokenize(F.col(q)).alias("_tq"), tokenize(F.col(t)).alias("_tt"))
     toks = toks.withColumn("_tqt", F.concat("_tq", "_tt"))     # split(q + ' ' + t)
-    return toks.select(*keep, *text_stats_columns(F.col("_tq"), "query"),
-                       *text_stats_columns(F.col("_tt"), "title"),
-                       *text_stats_columns(F.col("_tqt"), "query_title"))
+    for c in ("_tq", "_tt", "_tqt"):
+        toks = add_run_counts(toks, c, c + "_runs")
+    return toks.select(*keep, *text_stats_columns(F.col("_tq"), "query", F.col("_tq_runs")),
+                       *text_stats_columns(F.col("_tt"), "title", F.col("_tt_runs")),
+                       *text_stats_columns(F.col("_tqt"), "query_title", F.col("_tqt_runs")))
 
 
 # ------------------------------------------------------------------ corpus
