@@ -87,10 +87,10 @@ def word_tfidf_long(df: DataFrame, key: str, terms: str, max_df: float = TFIDF_M
     """(key, term, weight): sublinear tf ``1 + ln(c)``, smoothed idf
     ``ln((1+N)/(1+df)) + 1``, terms in more than ``max_df``·N rows dropped,
     rows L1-normalised."""
-    n_docs = df.agg(F.count(F.lit(1)).alias("_N"))
-    dfreq = term_document_frequency(df, key, terms).crossJoin(F.broadcast(n_docs))
-    idf = (dfreq.where(F.col("df") <= F.lit(max_df) * F.col("_N"))
-           .select("term", (F.log((1 + F.col("_N")) / (1 + F.col("df"))) + 1).alias("idf")))
+    n_docs = df.agg(F.count(F.lit(1))).scalar()                  # scalar subquery
+    dfreq = term_document_frequency(df, key, terms)
+    idf = (dfreq.where(F.col("df") <= F.lit(max_df) * n_docs)
+           .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")))
     counts = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("c"))
     w = counts.join(idf, "term").select(key, "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
@@ -128,13 +128,13 @@ def poly_expand(df: DataFrame, cols: Sequence[str], degree: int = 2, out: str =
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Zero mean, unit population standard deviation; a constant column maps to 0."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))                          # one row
+    # scalar subqueries over the same input; Spark merges them into one aggregate
+    out = df
     for c in cols:
-        s = F.col(f"_s_{c}")
-        j = j.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(s == 0, F.lit(1.0)).otherwise(s))
-    return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        m = df.agg(F.avg(c)).scalar()
+        s = df.agg(F.stddev_pop(c)).scalar()
+        out = out.withColumn(c, (F.col(c) - m) / F.when(s == 0, F.lit(1.0)).otherwise(s))
+    return out
 
 
 def pca(df: DataFrame, vec: str, k: int = PCA_K, out: str = "pca") -> DataFrame:
@@ -229,8 +229,8 @@ def intercept_only(train: DataFrame, score: DataFrame, label: str = "label",
                    out: str = "prediction") -> DataFrame:
     """The model a linear classifier reduces to without features: the training
     positive rate for every row (one-row aggregate, broadcast)."""
-    prior = train.agg(F.avg(F.col(label).cast("double")).alias(out))
-    return score.crossJoin(F.broadcast(prior))
+    prior = train.agg(F.avg(F.col(label).cast("double"))).scalar()
+    return score.withColumn(out, prior)
 
 
 def fit_text_linear(train: DataFrame, score: DataFrame, terms: str = "terms", label: str = "label",

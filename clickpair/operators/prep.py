@@ -41,15 +41,15 @@ def column_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def minmax_scale(df: DataFrame, cols: Sequence[str], fill=-1.0) -> DataFrame:
     """``(x − min)/(max − min)`` per column; 0/0 and NULL become ``fill``.
 
-    The statistics are one aggregate row, broadcast to every partition.
+    min and max are scalar subqueries; Spark merges them into one aggregate.
     """
-    mm = column_minmax(df, cols)
-    j = df.crossJoin(F.broadcast(mm))
+    out = df
     for c in cols:
-        lo, hi = F.col(f"{c}_min").cast("double"), F.col(f"{c}_max").cast("double")
-        j = j.withColumn(c, F.coalesce(F.try_divide(F.col(c).cast("double") - lo, hi - lo),
-                                       F.lit(float(fill))))
-    return j.drop(*[f"{c}_{s}" for c in cols for s in ("min", "max")])
+        lo = df.agg(F.min(c)).scalar().cast("double")
+        hi = df.agg(F.max(c)).scalar().cast("double")
+        out = out.withColumn(c, F.coalesce(F.try_divide(F.col(c).cast("double") - lo, hi - lo),
+                                           F.lit(float(fill))))
+    return out
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:

@@ -6,7 +6,7 @@ Scale notes
   aggregation; the leave-one-fold-out statistics come from subtraction on
   that small table instead of k separate group-bys.
 * The prior has one row per fold (k rows), a proven size bound, so it is
-  broadcast.  The per-key table is joined with a plain equi-join; AQE picks
+  broadcast; the full-train prior is a scalar subquery.  The per-key table is joined with a plain equi-join; AQE picks
   broadcast or sort-merge from runtime sizes and splits a hot key's partition
   (``spark.sql.adaptive.skewJoin.enabled``).
 * Nothing is collected to the driver; the prior is a one-row DataFrame.
@@ -86,10 +86,10 @@ def rate_table(train: DataFrame, keys, label: str = "label") -> DataFrame:
     p = prefix(keys)
     st = key_label_stats(train, keys, label)
     prior = bayes_prior(st, f"{p}_rate")
-    return (st.crossJoin(F.broadcast(prior.select("alpha", "beta")))   # one row
-            .select(*_keys(keys), f"{p}_count", f"{p}_click_number",
-                    smoothed_rate(F.col(f"{p}_click_number"), F.col(f"{p}_count"),
-                                  F.col("alpha"), F.col("beta")).alias(f"{p}_rate")))
+    alpha, beta = prior.select("alpha").scalar(), prior.select("beta").scalar()   # one row
+    return st.select(*_keys(keys), f"{p}_count", f"{p}_click_number",
+                     smoothed_rate(F.col(f"{p}_click_number"), F.col(f"{p}_count"),
+                                   alpha, beta).alias(f"{p}_rate"))
 
 
 def apply_rate(train: DataFrame, test: DataFrame, keys, label: str = "label") -> DataFrame:

@@ -53,7 +53,7 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
 
     A window ordered over the whole table (or over one hot group) runs in a
     single task.  Here the ordering column is cut into ``n_ranges`` ranges at
-    approximate quantiles (a one-row aggregate, broadcast); every (group,
+    approximate quantiles (a scalar subquery); every (group,
     range) computes local running sums, the per-(group, range) totals give
     each range its offset, and a join on (group, range) adds it back.  The
     range id is a pure function of the value, so every branch of the plan
@@ -64,11 +64,15 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
     groups = list(groups)
     n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     qs = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(order, qs, 10000).alias("_bounds")) if qs else \
-        df.sparkSession.range(1).select(F.array().cast("array<double>").alias("_bounds"))
-    ranged = (df.crossJoin(F.broadcast(bounds))                      # one row
-              .withColumn("_rid", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-              .drop("_bounds"))
+    if qs:
+        # one array, computed once; projected first because subqueries may not
+        # sit inside higher-order functions
+        bounds = df.agg(F.percentile_approx(order, qs, 10000)).scalar()
+        ranged = (df.withColumn("_bounds", bounds)
+                  .withColumn("_rid", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
+                  .drop("_bounds"))
+    else:
+        ranged = df.withColumn("_rid", F.lit(0))
     local = Window.partitionBy(*groups, "_rid").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1)
     with_local = ranged.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias("_l_" + v)

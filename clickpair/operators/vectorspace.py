@@ -134,14 +134,12 @@ def tfidf_cosine(df: DataFrame, q: str = "query", t: str = "title", keep=("pair_
 
 
 def impute_mean(df: DataFrame, cols) -> DataFrame:
-    """Replace NULLs of ``cols`` by the column mean (one-row aggregate, broadcast)."""
+    """Replace NULLs of ``cols`` by the column mean (a scalar subquery each)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    means = df.agg(*[F.avg(c).alias("_mean_" + c) for c in cols])
-    j = df.crossJoin(F.broadcast(means))
-    out = j
+    out = df
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col("_mean_" + c)))
-    return out.drop(*["_mean_" + c for c in cols])
+        out = out.withColumn(c, F.coalesce(F.col(c), df.agg(F.avg(c)).scalar()))
+    return out
 
 
 def add_run_counts(df: DataFrame, arr: str, out: str) -> DataFrame:
@@ -240,19 +238,17 @@ def char_tfidf_stats(df: DataFrame, text, name: str, key: str = "pair_id") -> Da
     """
     docs = df.select(key, normalise_chars(_c(text)).alias("_txt"))
     grams = docs.select(key, F.explode(char_ngrams(F.col("_txt"))).alias("g"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_N"))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()                      # scalar subqueries
     dfreq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
-    idf = (dfreq.crossJoin(F.broadcast(n_docs))                         # one row
-           .select("g", (F.log((1 + F.col("_N")) / (1 + F.col("_df"))) + 1).alias("_idf")))
-    vocab = dfreq.agg(F.count(F.lit(1)).alias("_V"))
+    idf = dfreq.select("g", (F.log((1 + n_docs) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    vocab = dfreq.agg(F.count(F.lit(1))).scalar()
     per_doc = (grams.join(idf, "g")
                .groupBy(key)
                .agg(F.sum(F.col("_idf") * F.col("_idf")).alias("_ss"),
                     F.sum("_idf").alias("_s"), F.max("_idf").alias("_mx")))
     out = (docs.select(key).join(per_doc, key, "left")
-           .crossJoin(F.broadcast(vocab))                                # one row
            .select(key,
-                   F.coalesce(F.col("_s") / F.sqrt("_ss") / F.col("_V"), F.lit(0.0))
+                   F.coalesce(F.col("_s") / F.sqrt("_ss") / vocab, F.lit(0.0))
                    .alias(f"{name}_tfidfvec_mean"),
                    F.coalesce(F.col("_mx") / F.sqrt("_ss"), F.lit(0.0)).alias(f"{name}_tfidfvec_max")))
     return out
