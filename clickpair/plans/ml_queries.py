@@ -199,18 +199,25 @@ def q_train_lr_l1(spark, sf_dir):
 
 @register("train_lr_incremental")
 def q_train_lr_incremental(spark, sf_dir):
-    """#127 chunk-wise training: after each chunk the model is refitted on all
-    chunks seen so far (Spark ML has no partial_fit); final model scores all rows."""
-    from clickpair.operators.prep import row_index
-    a = _assembled(spark, sf_dir)
-    tr = cut_lineage(row_index(a.where(F.col("split") == "train"), "pair_id", "_ix")
-                     .withColumn("_chunk", F.floor(F.col("_ix") / 5000)))
-    n_chunks = int(tr.agg(F.max("_chunk")).first()[0]) + 1
-    model = None
-    for ch in range(n_chunks):
-        seen = tr.where(F.col("_chunk") <= ch)
-        model = ML.lr_l1(seen.count(), 0.2).fit(seen)
-    return ML.positive_probability(model.transform(a)).select("pair_id", "split", "label", "prediction")
+    """#127 incremental training as a stream: train-split features land in
+    chunks of about 5,000 rows (one file each), every micro-batch refits on
+    all chunks seen so far; the last model scores every row."""
+    import math
+    import os
+    import uuid
+    from clickpair.session import checkpoint_dir
+    from clickpair.streaming import jobs
+    names = feature_names()
+    f = cut_lineage(_features(spark, sf_dir))
+    train = f.where(F.col("split") == "train").select("pair_id", "label", *names)
+    n_chunks = max(1, math.ceil(train.count() / 5000))
+    landing = os.path.join(checkpoint_dir(spark), "landing", uuid.uuid4().hex)
+    train.repartitionByRange(n_chunks, "pair_id").write.parquet(landing)
+    q, base = jobs.incremental_lr_stream(spark, landing, spark.read.parquet(landing).schema, names)
+    q.awaitTermination()
+    model = jobs.latest_model(base)
+    scored = model.transform(ML.assemble(f, names, "features"))
+    return ML.positive_probability(scored).select("pair_id", "split", "label", "prediction")
 
 
 @register("train_gbt")
