@@ -47,6 +47,7 @@ def get_spark(app: str = "clickpair", master: str | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     if not (spark.sparkContext.master or "").startswith("local"):
         explicit = spark.sparkContext.getConf()          # only keys someone set
         for k, v in CLUSTER_DEFAULTS.items():
@@ -82,3 +83,33 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``clickpair`` importable in Python workers: zip the package once
+    per SparkContext and register it with ``addPyFile`` (Spark distributes it
+    to every executor).  Pandas UDFs unpickle their functions by module name,
+    so executors need the package whatever their working directory."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="clickpair-pyfiles-"), "clickpair.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            if "__pycache__" in d:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
