@@ -215,7 +215,7 @@ def q_train_lr_incremental(spark, sf_dir):
     train.repartitionByRange(n_chunks, "pair_id").write.parquet(landing)
     q, base = jobs.incremental_lr_stream(spark, landing, spark.read.parquet(landing).schema, names)
     q.awaitTermination()
-    model = jobs.latest_model(base)
+    model = jobs.latest_model(base, spark)
     scored = model.transform(ML.assemble(f, names, "features"))
     return ML.positive_probability(scored).select("pair_id", "split", "label", "prediction")
 

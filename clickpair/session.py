@@ -90,9 +90,11 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``clickpair`` importable in Python workers: zip the package once
-    per SparkContext and register it with ``addPyFile`` (Spark distributes it
-    to every executor).  Pandas UDFs unpickle their functions by module name,
-    so executors need the package whatever their working directory."""
+    per SparkContext and register it with ``addPyFile``.  The zip is a code
+    artifact on the driver; Spark's file server hands it to every executor,
+    as it does for ``--py-files``.  Pandas UDFs unpickle their functions by
+    module name, so executors need the package whatever their working
+    directory."""
     import os
     import zipfile
 

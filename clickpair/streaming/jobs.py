@@ -147,9 +147,18 @@ def incremental_lr_stream(spark: SparkSession, source: str, schema, features: li
     return _trigger(w, available_now, interval).start(), base
 
 
-def latest_model(base: str):
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system (local, HDFS, S3, ...)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
+def latest_model(base: str, spark: SparkSession | None = None):
     """The most recent model saved by ``incremental_lr_stream``."""
     from pyspark.ml.classification import LogisticRegressionModel
+    spark = spark or SparkSession.getActiveSession()
     models = os.path.join(base, "models")
-    last = sorted(d for d in os.listdir(models) if d.startswith("epoch="))[-1]
+    last = sorted(d for d in list_dir(spark, models) if d.startswith("epoch="))[-1]
     return LogisticRegressionModel.load(os.path.join(models, last))
