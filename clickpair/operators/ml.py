@@ -128,13 +128,15 @@ def poly_expand(df: DataFrame, cols: Sequence[str], degree: int = 2, out: str =
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Zero mean, unit population standard deviation; a constant column maps to 0."""
-    # scalar subqueries over the same input; Spark merges them into one aggregate
-    out = df
+    # all statistics in one aggregate, used as one struct-valued scalar subquery
+    st = df.agg(F.struct(*[e for c in cols for e in (F.avg(c).alias(f"{c}_m"),
+                                                      F.stddev_pop(c).alias(f"{c}_s"))])).scalar()
+    d = df.withColumn("_ms", st)                                  # the subquery appears once
+    out = {}
     for c in cols:
-        m = df.agg(F.avg(c)).scalar()
-        s = df.agg(F.stddev_pop(c)).scalar()
-        out = out.withColumn(c, (F.col(c) - m) / F.when(s == 0, F.lit(1.0)).otherwise(s))
-    return out
+        m, s = F.col(f"_ms.{c}_m"), F.col(f"_ms.{c}_s")
+        out[c] = (F.col(c) - m) / F.when(s == 0, F.lit(1.0)).otherwise(s)
+    return d.withColumns(out).drop("_ms")
 
 
 def pca(df: DataFrame, vec: str, k: int = PCA_K, out: str = "pca") -> DataFrame:

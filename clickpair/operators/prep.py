@@ -41,15 +41,17 @@ def column_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def minmax_scale(df: DataFrame, cols: Sequence[str], fill=-1.0) -> DataFrame:
     """``(x − min)/(max − min)`` per column; 0/0 and NULL become ``fill``.
 
-    min and max are scalar subqueries; Spark merges them into one aggregate.
+    All minima and maxima come from one aggregate, a single struct-valued
+    scalar subquery projected once (one copy of the input plan, one job).
     """
-    out = df
+    st = df.agg(F.struct(*[e for c in cols for e in (F.min(c).alias(f"{c}_min"),
+                                                      F.max(c).alias(f"{c}_max"))])).scalar()
+    d = df.withColumn("_mm", st)
+    scaled = {}
     for c in cols:
-        lo = df.agg(F.min(c)).scalar().cast("double")
-        hi = df.agg(F.max(c)).scalar().cast("double")
-        out = out.withColumn(c, F.coalesce(F.try_divide(F.col(c).cast("double") - lo, hi - lo),
-                                           F.lit(float(fill))))
-    return out
+        lo, hi = F.col(f"_mm.{c}_min").cast("double"), F.col(f"_mm.{c}_max").cast("double")
+        scaled[c] = F.coalesce(F.try_divide(F.col(c).cast("double") - lo, hi - lo), F.lit(float(fill)))
+    return d.withColumns(scaled).drop("_mm")
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_idx") -> DataFrame:

@@ -86,10 +86,10 @@ def rate_table(train: DataFrame, keys, label: str = "label") -> DataFrame:
     p = prefix(keys)
     st = key_label_stats(train, keys, label)
     prior = bayes_prior(st, f"{p}_rate")
-    alpha, beta = prior.select("alpha").scalar(), prior.select("beta").scalar()   # one row
+    ab = prior.select(F.struct("alpha", "beta")).scalar()                   # one row
     return st.select(*_keys(keys), f"{p}_count", f"{p}_click_number",
                      smoothed_rate(F.col(f"{p}_click_number"), F.col(f"{p}_count"),
-                                   alpha, beta).alias(f"{p}_rate"))
+                                   ab["alpha"], ab["beta"]).alias(f"{p}_rate"))
 
 
 def apply_rate(train: DataFrame, test: DataFrame, keys, label: str = "label") -> DataFrame:

@@ -134,12 +134,11 @@ def tfidf_cosine(df: DataFrame, q: str = "query", t: str = "title", keep=("pair_
 
 
 def impute_mean(df: DataFrame, cols) -> DataFrame:
-    """Replace NULLs of ``cols`` by the column mean (a scalar subquery each)."""
+    """Replace NULLs of ``cols`` by the column mean (one struct-valued scalar subquery)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), df.agg(F.avg(c)).scalar()))
-    return out
+    st = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    d = df.withColumn("_means", st)                               # the subquery appears once
+    return d.withColumns({c: F.coalesce(F.col(c), F.col(f"_means.{c}")) for c in cols}).drop("_means")
 
 
 def add_run_counts(df: DataFrame, arr: str, out: str) -> DataFrame:

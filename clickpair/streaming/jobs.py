@@ -96,10 +96,10 @@ def rates_from_stats(stats: DataFrame, keys) -> DataFrame:
     p = rates.prefix(ks)
     st = stats.withColumn(f"{p}_rate", F.col(f"{p}_click_number") / F.col(f"{p}_count"))
     prior = rates.bayes_prior(st, f"{p}_rate")
-    alpha, beta = prior.select("alpha").scalar(), prior.select("beta").scalar()
+    ab = prior.select(F.struct("alpha", "beta")).scalar()
     return st.select(*ks, f"{p}_count", f"{p}_click_number",
                      rates.smoothed_rate(F.col(f"{p}_click_number"), F.col(f"{p}_count"),
-                                         alpha, beta).alias(f"{p}_rate"))
+                                         ab["alpha"], ab["beta"]).alias(f"{p}_rate"))
 
 
 def pair_features_stream(spark: SparkSession, source: str, schema, out: str | None = None,
