@@ -12,9 +12,14 @@ rows per group.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Upper bound on ranges: each range's window is one task, so a few hundred
+# ranges already bound a task to a small share of a hot group.
+MAX_RANGES = 512
+
 
 def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
                   bucket_width: int = 1 << 16) -> DataFrame:
@@ -53,24 +58,23 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
 
     A window ordered over the whole table (or over one hot group) runs in a
     single task.  Here the ordering column is cut into ``n_ranges`` ranges at
-    approximate quantiles (a scalar subquery); every (group,
+    approximate quantiles (``QuantileDiscretizer``); every (group,
     range) computes local running sums, the per-(group, range) totals give
     each range its offset, and a join on (group, range) adds it back.  The
-    range id is a pure function of the value, so every branch of the plan
+    range id is a pure function of the value (fixed splits), so every branch of the plan
     agrees on it.  ``order`` values should be distinct inside a group
     (aggregate ties first).
     """
     values = [values] if isinstance(values, str) else list(values)
     groups = list(groups)
-    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    qs = [i / n for i in range(1, n)]
-    if qs:
-        # one array, computed once; projected first because subqueries may not
-        # sit inside higher-order functions
-        bounds = df.agg(F.percentile_approx(order, qs, 10000)).scalar()
-        ranged = (df.withColumn("_bounds", bounds)
-                  .withColumn("_rid", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-                  .drop("_bounds"))
+    n = n_ranges or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    if n > 1:
+        # n + 1 split points from approximate quantiles (a bounded sample, as
+        # range partitioning takes); ranges assigned by binary search on the JVM
+        qd = QuantileDiscretizer(numBuckets=n, inputCol=order, outputCol="_rid_d",
+                                 relativeError=1e-4, handleInvalid="keep")
+        ranged = (qd.fit(df.select(F.col(order).cast("double").alias(order))).transform(df)
+                  .withColumn("_rid", F.col("_rid_d").cast("int")).drop("_rid_d"))
     else:
         ranged = df.withColumn("_rid", F.lit(0))
     local = Window.partitionBy(*groups, "_rid").orderBy(order).rowsBetween(
