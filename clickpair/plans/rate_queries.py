@@ -8,7 +8,7 @@ from clickpair.operators import rates
 from clickpair.operators.grouping import group_titles, token_counts
 from clickpair.plans.catalog import register
 from clickpair.plans.oracle_sql import with_fixtures
-from clickpair.sources.fixtures import basket_pairs, clicks
+from clickpair.sources.fixtures import basket_pairs, clicks, labelled_docs
 
 # Deterministic folds for oracle runs (FIXTURES.md): pair_id % 5.
 K = 5
@@ -40,20 +40,21 @@ def _rate_table_sql(src: str, keys: list[str]) -> str:
  from s cross join ab)"""
 
 
-def _oof_sql(keys: list[str]) -> str:
+def _oof_sql(keys: list[str], fixture: str = "clicks",
+             base: str = "select pair_id, key1, key2, label, pair_id % 5 fold from clicks") -> str:
     p = "_".join(keys)
     k = ", ".join(keys)
     tk = ", ".join(f"t.{x}" for x in keys)
     on = " and ".join(f"t.{x} = s.{x}" for x in keys)
     nn = " and ".join(f"{x} is not null" for x in keys)
     sel = ", ".join(f"f4.{x}" for x in keys)
-    return with_fixtures("clicks", f"""
+    return with_fixtures(fixture, f"""
 select f4.pair_id, {sel}, f4.fold, f4.label,
        oo.n {p}_count, oo.c {p}_click_number,
        (oo.c + a) / nullif(oo.n + a + b, 0) {p}_rate
 from f4 left join oo using ({k}, fold) left join ab using (fold)
 """, extra=f"""
-f4 as (select pair_id, key1, key2, label, pair_id % 5 fold from clicks),
+f4 as ({base}),
 s as (select {k}, fold, count(*) n, cast(sum(label) as bigint) c from f4 where {nn} group by {k}, fold),
 t as (select {k}, sum(n) n, sum(c) c from s group by {k}),
 o as (select {tk}, f.fold, cast(t.n - coalesce(s.n, 0) as bigint) n, cast(t.c - coalesce(s.c, 0) as bigint) c
@@ -202,3 +203,24 @@ group by pair_id, token"""))
 def q_token_counts(spark, sf_dir):
     """#35 token frequencies of every title."""
     return token_counts(basket_pairs(spark, sf_dir), "title")
+
+
+# ------------------------------------------------------------ documents
+_DOC_BASE = "select pair_id, source, lang, label, pair_id % 5 fold from labelled_docs"
+
+
+@register("doc_source_rate", _oof_sql(["source"], "labelled_docs", _DOC_BASE))
+def q_doc_source_rate(spark, sf_dir):
+    """#30 on labelled documents: leave-one-fold-out quality rate per source."""
+    d = labelled_docs(spark, sf_dir).withColumn("fold", F.col("pair_id") % K)
+    return rates.oof_rate(d, "source", "fold", k=K).select(
+        "pair_id", "source", "fold", "label", "source_count", "source_click_number", "source_rate")
+
+
+@register("doc_source_lang_rate", _oof_sql(["source", "lang"], "labelled_docs", _DOC_BASE))
+def q_doc_source_lang_rate(spark, sf_dir):
+    """#31 on labelled documents: leave-one-fold-out quality rate per (source, lang)."""
+    d = labelled_docs(spark, sf_dir).withColumn("fold", F.col("pair_id") % K)
+    return rates.oof_rate(d, ["source", "lang"], "fold", k=K).select(
+        "pair_id", "source", "lang", "fold", "label",
+        "source_lang_count", "source_lang_click_number", "source_lang_rate")
