@@ -6,9 +6,10 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickpair.llm import bpe, exact, packing, quality_rules
-from clickpair.llm.common import documents
+from clickpair.llm import bpe, chat, exact, lines, packing, quality_mil, quality_rules, toxicity
+from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +39,31 @@ def op2(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+@query("op3_line_dedup")
+def op3(spark, sf_dir):
+    return lines.line_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 @query("op5_quality_rules", quality_rules.SQL)
 def op5(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op8_chat")
+def op8(spark, sf_dir):
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
+
+
+@query("op10_quality_mil")
+def op10(spark, sf_dir):
+    return quality_mil.quality(documents(spark, sf_dir), labels(spark, sf_dir))
