@@ -148,3 +148,45 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.concatenate((solid[1:], [False])) if len(buf) else solid
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return start, end, np.searchsorted(start, off)
+
+
+# -- Checked broadcasts and components ----------------------------------------
+
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """``table`` (stored) with a broadcast hint if its measured size is within
+    ``BROADCAST_BYTES``; beyond that it meets its rows in an equi-join."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) of every id in ``edges`` (a, b): label is the smallest id
+    that is reachable.  Each round hooks every id to its smallest neighbour,
+    follows the hooks, and contracts the edges, so paths shrink fast; every
+    round is stored.  Hubs are reduced by partial aggregation."""
+    e = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(
+        "a < b").distinct(), "edges")
+    hooks = []
+    while e.head(1):
+        near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(
+            F.min("b").alias("b"))
+        hook = stored(near.select("a", F.least("a", "b").alias("p")), "hooks")
+        small = sized(hook)
+        for _ in range(2):
+            onward = small.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            hook = hook.join(onward, "p").select("a", F.col("q").alias("p"))
+        hook = stored(hook, "hooks")
+        hooks.append(hook)
+        small = sized(hook)
+        e = stored(e.join(small, "a").select(F.col("p").alias("x"), "b").join(
+            small.withColumnRenamed("a", "b"), "b").select(
+            F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).where("a < b").distinct(), "edges")
+    if not hooks:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0)
+    out = hooks[0].select(F.col("a").alias("id"), F.col("p").alias("label"))
+    for hook in hooks[1:]:
+        step = sized(hook).select(F.col("a").alias("label"), F.col("p").alias("next"))
+        out = out.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+    return stored(out, "components")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm import bpe, chat, exact, lines, packing, quality_mil, quality_rules, toxicity
+from clickpair.llm import bpe, chat, exact, jaccard, lines, packing, quality_mil, quality_rules, toxicity
 from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
 
@@ -44,6 +44,11 @@ def op3(spark, sf_dir):
     return lines.line_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
 
 
+@query("op4_jaccard")
+def op4(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 @query("op5_quality_rules", quality_rules.SQL)
 def op5(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
