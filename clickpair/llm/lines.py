@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import heavy_join, stored
+from clickpair.llm.common import BROADCAST_BYTES, heavy_join, let, stored
 
 RARE, MIN_CHARS = 8, 40
 
@@ -99,11 +99,13 @@ def aligned_blocks(a: list, b: list, chars: list, min_chars: int) -> list[int]:
 
 
 def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: ``doc_id, text`` without the deleted lines,
-    ``n_lines`` and ``n_deleted``."""
+    ``n_lines``, ``n_deleted``, and on request ``rest``, a struct of the other
+    columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([others.alias("rest")] if carry else []))
     solid = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     hashed = stored(source.where("doc_id is not null").select("doc_id", solid.alias("s")).select(
         "doc_id", F.transform("s", lambda x: F.xxhash64(x)).alias("lines"),
@@ -133,18 +135,23 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
                  pa.array([p for f in found for p in f], pa.int32())], ["doc_id", "at"])
 
     kind = hashed.schema["doc_id"].dataType.simpleString()
-    cut = both.mapInArrow(align, f"doc_id {kind}, at int").groupBy("doc_id").agg(
-        F.collect_set("at").alias("cut"))
+    cut = stored(both.mapInArrow(align, f"doc_id {kind}, at int").groupBy("doc_id").agg(
+        F.collect_set("at").alias("cut")), "cut-lines")
+    size = cut.agg(F.coalesce(F.sum(F.size("cut") * 4 + 48), F.lit(0)).alias("b")).first()["b"]
+    cut = F.broadcast(cut) if size <= BROADCAST_BYTES else cut
     # positions count lines with words; keep every other line of the text
     split = F.split("text", "\n")
     is_solid = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
+    extra = ["rest"] if carry else []
     marked = source.join(cut, "doc_id", "left").withColumn("n_lines", F.size(F.filter(split, is_solid)).cast("long"))
-    lines = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: is_solid(s["x"]))
-    spots = F.transform(lines, lambda s: s["i"])       # line number of each line with words
-    gone = F.transform("cut", lambda c: F.get(F.col("spots"), c))
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")))
-    cutting = marked.where("cut is not null").withColumn("all", split).withColumn("spots", spots).withColumn(
-        "gone", gone).select("doc_id", F.array_join(F.transform(left, lambda i: F.get(F.col("all"), i)), "\n").alias(
-            "text"), "n_lines", F.size("cut").cast("long").alias("n_deleted"))
-    whole = marked.where("cut is null").select("doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_deleted"))
-    return cutting.unionByName(whole)
+    spots = F.transform(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+                                 lambda s: is_solid(s["x"])), lambda s: s["i"])
+
+    def without(all_lines):
+        gone = let(spots, lambda at: F.transform("cut", lambda c: F.get(at, c)))
+        left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone))
+        return F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
+
+    return marked.select(
+        "doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(let(split, without)).alias("text"),
+        "n_lines", F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_deleted"), *extra)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickpair.llm.common import _FOLD, hash_prefix, row_chunks, span_hash, stored, text_buffer, word_spans
 from clickpair.llm.toxicity import CUT, held_out, training_rows
@@ -205,23 +206,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, rounds: int =
     return params
 
 
-def quality(docs: DataFrame, labels: DataFrame, model: dict | None = None,
-            id_col: str = "doc_id", text_col: str = "text", **fit_args) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``."""
-    model = model or fit(docs, labels, id_col=id_col, text_col=text_col, **fit_args)
+def with_scores(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows as they are, with a score column after the others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    at = docs.columns.index(text_col)
 
     def score(batches):
         for batch in batches:
-            buf, off = text_buffer(batch.column(1))
+            buf, off = text_buffer(batch.column(at))
             for lo, hi in row_chunks(off):
                 x, bag = encode_passages(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(forward(shared.value, x, bag)["p"])],
-                    ["doc_id", "score"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forward(shared.value, x, bag)["p"])],
+                                                 [*part.schema.names, name])
 
-    return rows.mapInArrow(score, f"doc_id {kind}, score double").select(
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def quality(docs: DataFrame, labels: DataFrame, model: dict | None = None,
+            id_col: str = "doc_id", text_col: str = "text", **fit_args) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score, predicted``."""
+    model = model or fit(docs, labels, id_col=id_col, text_col=text_col, **fit_args)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_scores(rows, model).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import heavy_join, stored
+from clickpair.llm.common import heavy_join, let, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -28,11 +28,6 @@ MAX_REPEAT_PERCENT = 50
 HOST_LIMIT = 0.5
 
 
-def let(value, body):
-    """``body`` over ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text):
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 

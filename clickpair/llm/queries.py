@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm import bpe, chat, exact, jaccard, lines, packing, quality_mil, quality_rules, toxicity
+from clickpair.llm import bpe, chat, exact, jaccard, lines, packing, quality_mil, quality_rules, suffixes, toxicity
 from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
 
@@ -54,6 +54,11 @@ def op5(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return suffixes.suffix_dedup(documents(spark, sf_dir), keep="none", with_text=False)
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
