@@ -43,25 +43,23 @@ from clickpair.llm.common import hash_prefix, heavy_join, ragged_index, sized, s
 
 WINDOW, GRAM = 200, 100
 WIDE = WINDOW - GRAM + 1               # grams in a window
-CHUNK, SEGMENT = 2 << 20, 8 << 20      # bytes of a numpy step; of a piece of a very long text
+CHUNK, SEGMENT = 1 << 20, 8 << 20      # bytes of a numpy step; of a piece of a very long text
 FILTER_BYTES = 32 << 20
-BLOCK_RUNS, BLOCK_BYTES = 1_000_000, 1 << 20
+BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 20
 #: Contexts of one anchor that are suffix-sorted together, at most.
 TOGETHER = 20_000
 _U = np.uint64
 
 
-def segments(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, row, start, end) of texts; long ones as overlapping pieces so
-    that every window is in exactly one."""
-    buf, off = text_buffer(batch.column(1))
+def segments(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the texts between these offsets; long ones as
+    overlapping pieces so that every window is in exactly one."""
     size = np.diff(off)
     per = np.where(size >= WINDOW, -(-(size - WINDOW + 1) // SEGMENT), 0)
     row = np.repeat(np.arange(len(size)), per)
     at = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
     start = off[:-1][row] + at
-    end = np.minimum(start + SEGMENT + WINDOW - 1, off[1:][row])
-    return buf, row, start, end
+    return row, start, np.minimum(start + SEGMENT + WINDOW - 1, off[1:][row])
 
 
 def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -71,8 +69,8 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.arange(len(buf) - GRAM + 1)
     gram = span_hash(prefix, at, at + GRAM)
     bits = _U(24)                                     # chunk positions fit: see CHUNK, SEGMENT
-    key = (gram >> bits << bits) | at.astype(_U)
-    low, wide = key, 1
+    low, wide = (gram >> bits << bits) | at.astype(_U), 1
+    del at
     while 2 * wide <= WIDE:
         low = np.minimum(low[:-wide], low[wide:])
         wide *= 2
@@ -92,24 +90,21 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def run_chunks(batches):
     """(batch, rows, first window, last window, anchor, context, bytes, context's place) per chunk."""
     for batch in batches:
-        buf, row, start, end = segments(batch)
+        buf, offsets = text_buffer(batch.column(1))
+        row, start, end = segments(offsets)
         size = np.cumsum(end - start)
         lo = 0
         while lo < len(row):
             base = size[lo] - (end[lo] - start[lo])
             hi = max(lo + 1, int(np.searchsorted(size, base + CHUNK, "right")))
-            part = buf[ragged_index(start[lo:hi], end[lo:hi] - start[lo:hi])]
+            part = np.concatenate([buf[a:b] for a, b in zip(start[lo:hi].tolist(), end[lo:hi].tolist())])
             off = np.concatenate(([0], size[lo:hi] - base))
             text, s0, s1, anchor, context = runs_of(part, off)
-            origin = start[lo:hi] - _row_starts(batch, row[lo:hi])
+            origin = start[lo:hi] - offsets[:-1][row[lo:hi]]
             yield batch, row[lo:hi][text], s0 + origin[text], s1 + origin[text], anchor, context, part, s0 + off[text]
             lo = hi
 
 
-def _row_starts(batch, rows: np.ndarray) -> np.ndarray:
-    return text_buffer(batch.column(1))[1][:-1][rows]
-
-
 def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
     """(anchor, context, n, doc_id, s0, contexts): every context of the anchors
     that occur twice or more, with its count and first place."""
@@ -332,7 +327,7 @@ def hashed_flags(contexts: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, keep: str) -> DataFrame:
     """(doc_id, spans): byte spans to remove, as (start, end) pairs in one list."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    verdicts = stored(repeated_runs(rows, max(8, int(size // (BLOCK_RUNS * 25)))), "run-verdicts")
+    verdicts = stored(repeated_runs(rows, max(8, int(size // (BLOCK_RUNS * 40)))), "run-verdicts")
     bitmap = anchor_filter(verdicts, verdicts.select("anchor").distinct().count())
     runs = stored(candidate_runs(rows, bitmap), "candidate-runs")
     mixed = verdicts.where("contexts > 1")
