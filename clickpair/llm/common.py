@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: Text bytes that one numpy step works on; a longer document is one step.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def set_batches(batches, seen: set | None = None):
     each class once per task."""
     for batch in batches:
         buf, off = text_buffer(batch.column(1))
-        for lo, hi in row_chunks(off):
+        for lo, hi in row_chunks(off, 1 << 20):
             h, at = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 own = h[a:b]
@@ -145,7 +145,7 @@ def frequent_shingles(rows: DataFrame, blocks: int) -> np.ndarray:
         for _, _, own, _ in set_batches(batches, seen):
             held.append(own)
             size += len(own)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from pack(held)
                 held, size = [], 0
         if held:
@@ -424,7 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = stored(verified(stars, rows), "hub-links")
     early = components(links)
     shingles = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(8, int(shingles // 2_000_000))
+    blocks = max(8, int(shingles // 1_000_000))
     named_rows = rows.where("doc_id is not null")
     hot = frequent_shingles(named_rows, blocks)
     postings = stored(shared_prefixes(named_rows, hot, blocks), "postings")
