@@ -43,7 +43,7 @@ from clickpair.llm.common import hash_prefix, heavy_join, ragged_index, sized, s
 
 WINDOW, GRAM = 200, 100
 WIDE = WINDOW - GRAM + 1               # grams in a window
-CHUNK, SEGMENT = 1 << 20, 8 << 20      # bytes of a numpy step; of a piece of a very long text
+CHUNK, SEGMENT = 1 << 18, 8 << 20      # bytes of a numpy step; of a piece of a very long text
 FILTER_BYTES = 32 << 20
 BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 20
 #: Contexts of one anchor that are suffix-sorted together, at most.
@@ -181,24 +181,31 @@ def anchor_filter(verdicts: DataFrame, count: int) -> bytes:
     return b"".join(bytes(found.get(p, bytes(bits // parts // 8))) for p in range(parts))
 
 
-def candidate_runs(rows: DataFrame, bitmap: bytes) -> DataFrame:
+def passes(bitmap: bytes, anchor: np.ndarray) -> np.ndarray:
+    """Whether the anchors are in the filter; an empty filter lets all pass."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    if not len(bits):
+        return np.ones(len(anchor), bool)
+    spot = (anchor % _U(8 * len(bits))).astype(np.int64)
+    return ((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def candidate_runs(rows: DataFrame, repeated: bytes, mixed: bytes) -> DataFrame:
     """(context, doc_id, s0, s1, bytes) of the runs whose anchor passes the
-    filter; ``bytes`` once per task and context."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    filter of repeated anchors; ``bytes``, once per task and context, where it
+    passes that of anchors with different contexts."""
+    shared = rows.sparkSession.sparkContext.broadcast((repeated, mixed))
 
     def run(batches):
-        passes = np.frombuffer(shared.value, np.uint8)
         seen: set = set()
         for batch, row, s0, s1, anchor, context, part, place in run_chunks(batches):
-            keep = np.arange(len(row))
-            if len(passes):
-                spot = (anchor % _U(8 * len(passes))).astype(np.int64)
-                keep = np.flatnonzero((passes[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1)
+            keep = np.flatnonzero(passes(shared.value[0], anchor))
+            differs = passes(shared.value[1], anchor[keep])
             raw = part.tobytes()
             data = []
-            for k in keep.tolist():
+            for k, wanted in zip(keep.tolist(), differs.tolist()):
                 c = int(context[k])
-                if c in seen:
+                if not wanted or c in seen:
                     data.append(None)
                 else:
                     seen.add(c)
@@ -328,9 +335,9 @@ def repeated_spans(rows: DataFrame, keep: str) -> DataFrame:
     """(doc_id, spans): byte spans to remove, as (start, end) pairs in one list."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     verdicts = stored(repeated_runs(rows, max(8, int(size // (BLOCK_RUNS * 40)))), "run-verdicts")
-    bitmap = anchor_filter(verdicts, verdicts.select("anchor").distinct().count())
-    runs = stored(candidate_runs(rows, bitmap), "candidate-runs")
     mixed = verdicts.where("contexts > 1")
+    filters = [anchor_filter(v, v.select("anchor").distinct().count()) for v in (verdicts, mixed)]
+    runs = stored(candidate_runs(rows, *filters), "candidate-runs")
     data = runs.where("bytes is not null").select("context", "bytes").dropDuplicates(["context"])
     contexts = stored(mixed.join(data, "context"), "contexts")
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("b")).first()["b"]
