@@ -84,7 +84,7 @@ def set_batches(batches, seen: set | None = None):
     each class once per task."""
     for batch in batches:
         buf, off = text_buffer(batch.column(1))
-        for lo, hi in row_chunks(off, 1 << 20):
+        for lo, hi in row_chunks(off, 1 << 19):
             h, at = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 own = h[a:b]
