@@ -34,6 +34,7 @@ from clickpair.llm.common import _FOLD, mix64, row_chunks, stored, text_buffer
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
+STEP_BYTES = 1 << 18        # text bytes of a numpy step
 CUT = 0.3
 
 
@@ -72,7 +73,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
         F.broadcast(some), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, n_features: int = 4096,
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, n_features: int = 4096,
         id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Weights per bucket and the intercept."""
     rows = training_rows(docs, labels, "toxic", 4, 2, max_train, id_col, text_col)
@@ -80,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, n_features:
     def list_buckets(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            for lo, hi in row_chunks(off):
+            for lo, hi in row_chunks(off, STEP_BYTES):
                 keys = [r.astype(np.int64) << BUCKET_BITS | b
                         for r, b in ngram_buckets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])]
                 keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
@@ -143,7 +144,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None,
         slot[bucket] = np.arange(len(bucket))
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            for lo, hi in row_chunks(off):
+            for lo, hi in row_chunks(off, STEP_BYTES):
                 keys = []
                 for r, b in ngram_buckets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]):
                     s = slot[b]
