@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickpair.llm.common import _FOLD, hash_prefix, row_chunks, span_hash, stored, text_buffer, word_spans
-from clickpair.llm.toxicity import CUT, held_out, training_rows
+from clickpair.llm.toxicity import CUT, STEP_BYTES, held_out, training_rows
 
 PASSAGE_WORDS = 48
 SHARDS = 4
@@ -162,7 +162,7 @@ def encoded(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            for lo, hi in row_chunks(off):
+            for lo, hi in row_chunks(off, STEP_BYTES):
                 x, bag = encode_passages(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
@@ -214,7 +214,7 @@ def with_scores(docs: DataFrame, model: dict, text_col: str = "text", name: str
     def score(batches):
         for batch in batches:
             buf, off = text_buffer(batch.column(at))
-            for lo, hi in row_chunks(off):
+            for lo, hi in row_chunks(off, STEP_BYTES):
                 x, bag = encode_passages(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forward(shared.value, x, bag)["p"])],
