@@ -27,7 +27,7 @@ def clean_digits(c) -> Column:
 
 def strip_tab(c) -> Column:
     """Drop one trailing tab."""
-    return F.regexp_replace(_c(c), "\\t$", "")
+    return F.regexp_replace(_c(c), "\\t\\z", "")
 
 
 def concat_text(q, t, sep: str | None = SEP) -> Column:

@@ -67,7 +67,8 @@ def ngram_counts_long(df: DataFrame, key: str, terms: str, min_df: int = NGRAM_M
 
 
 def count_vectorizer(terms: str = "terms", out: str = "features", min_df: int = NGRAM_MIN_DF):
-    return CountVectorizer(inputCol=terms, outputCol=out, minDF=float(min_df))
+    return CountVectorizer(inputCol=terms, outputCol=out, minDF=float(min_df),
+                           vocabSize=2**31 - 1)       # no cap but min_df
 
 
 def hashed_ngrams(df: DataFrame, terms: str = "terms", out: str = "features",

@@ -86,7 +86,13 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
     offsets = totals.select(*groups, "_rid",
                             *[F.coalesce(F.sum("_t_" + v).over(prev), F.lit(0)).alias("_o_" + v)
                               for v in values])
-    out = with_local.join(offsets, [*groups, "_rid"])
+    # null-safe: rows whose group is NULL are a group too
+    named = offsets.select(F.col("_rid").alias("_orid"), *[F.col(g).alias(f"_og{i}") for i, g in enumerate(groups)],
+                           *["_o_" + v for v in values])
+    same = F.col("_rid") == F.col("_orid")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_og{i}"))
+    out = with_local.join(named, same).drop("_orid", *[f"_og{i}" for i in range(len(groups))])
     for v in values:
         out = out.withColumn(v + suffix, F.col("_l_" + v) + F.col("_o_" + v))
     return out.drop("_rid", *["_l_" + v for v in values], *["_o_" + v for v in values])

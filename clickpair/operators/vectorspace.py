@@ -204,7 +204,7 @@ def text_stats(df: DataFrame, q: str = "query", t: str = "title", keep=("pair_id
 def normalise_chars(text: Column) -> Column:
     """Lower-cased text with runs of two or more whitespace characters
     collapsed to one space (the character analyzer's preprocessing)."""
-    return F.regexp_replace(F.lower(text), "\\s\\s+", " ")
+    return F.regexp_replace(F.lower(text), "(?U)\\s\\s+", " ")
 
 
 def char_ngrams(s: Column, n_max: int = 2) -> Column:

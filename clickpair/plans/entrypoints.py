@@ -100,13 +100,16 @@ def linear_ensemble(spark: SparkSession, train_path: str, test_path: str, out_pa
 
 
 def extract_features(spark: SparkSession, train_path: str, test_path: str, out_path: str,
-                     chunk_size: int = 100_000_000, fmt: str = "csv") -> DataFrame:
-    """Entry point C.  First and tenth train chunk plus the test rows (title
+                     chunk_size: int = 100_000_000, fmt: str = "csv",
+                     keep_chunks: tuple[int, ...] | None = None) -> DataFrame:
+    """Entry point C.  The train rows (or only the chunks named, as the
+    reference's first and tenth: ``(0, 9)``) plus the test rows (title
     tab stripped), missing values -1, pair features, written as CSV with a
     header.  Aggregates are global, not per slice."""
     train = _with_ids(scan_pairs(spark, train_path, True, fmt))
     test = _with_ids(scan_pairs(spark, test_path, False, fmt)).withColumn("title", strip_tab("title"))
-    picked = prep.slice_rows(train, "pair_id", chunk_size, (0, 9)).drop("chunk")
+    picked = train if keep_chunks is None else prep.slice_rows(
+        train, "pair_id", chunk_size, keep_chunks).drop("chunk")
     both = prep.fill_missing(prep.union_all([picked.withColumn("split", F.lit("train")),
                                              test.withColumn("split", F.lit("test"))]), -1)
     feats = pair_feature_table(both, keep=("pair_id", "query_id", "title_id", "label", "split"),

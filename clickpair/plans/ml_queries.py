@@ -93,9 +93,9 @@ def q_one_hot_title(spark, sf_dir):
     """#119 one-hot of the title id: its dense index and the vector size."""
     b = basket_pairs(spark, sf_dir).select("pair_id", "title_id")
     oh = ML.one_hot(b, "title_id")
-    # the encoder keeps one extra slot for NULL / unseen ids
-    return oh.select("pair_id", "title_id_index",
-                     (F.size(ML.vector_to_array("one_hot")) - 1).cast("long").alias("n_titles"))
+    # the vector's size from the index, never from rows of dense arrays
+    n = b.agg(F.count_distinct("title_id")).scalar()
+    return oh.select("pair_id", "title_id_index", n.cast("long").alias("n_titles"))
 
 
 # ------------------------------------------------------------- matrices

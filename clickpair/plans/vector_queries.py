@@ -85,7 +85,7 @@ def _char_tfidf_sql(text_expr: str, name: str) -> str:
 select d.pair_id, coalesce(sw / sqrt(ss) / V, 0.0) {name}_tfidfvec_mean,
        coalesce(mx / sqrt(ss), 0.0) {name}_tfidfvec_max
 from d left join pd using (pair_id) cross join v""", extra=f"""
-d as (select pair_id, regexp_replace(lower({text_expr}), '\\s\\s+', ' ', 'g') s from dialogue_pairs),
+d as (select pair_id, regexp_replace(lower({text_expr}), '[\\s\\x0b\\x{{85}}\\p{{Z}}]{{2,}}', ' ', 'g') s from dialogue_pairs),
 gr as (select pair_id, unnest(list_distinct(list_concat(
           list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)),
           list_transform(range(1, length(s)), lambda i: substr(s, i, 2))))) g from d),

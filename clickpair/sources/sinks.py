@@ -48,6 +48,6 @@ def sink_features(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(
     if parts:
         w = w.partitionBy(*parts)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.option("header", "true").option("escape", '"').csv(path)
     else:
         w.parquet(path)

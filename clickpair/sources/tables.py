@@ -27,6 +27,7 @@ def scan_pairs(spark: SparkSession, path: str, labelled: bool = True,
     if fmt == "csv":
         return (spark.read.schema(schema)
                 .option("header", "false").option("sep", sep)
+                .option("escape", '"')            # a doubled quote is a quote
                 .option("mode", "PERMISSIVE").csv(path))
     df = spark.read.parquet(path)
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
