@@ -23,6 +23,7 @@ from; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,43 +111,54 @@ def turn_steps(model: dict, symbols) -> list[np.ndarray]:
     return [model["move"] + model["emit"][:, np.asarray(s, int)].sum(1)[None, :] for s in symbols]
 
 
+def product(steps: list[np.ndarray]) -> list[float]:
+    out = steps[0]
+    for m in steps[1:]:
+        out = compose(out, m)
+    return out.ravel().tolist()
+
+
+def matrices(flat) -> list[np.ndarray]:
+    return [np.reshape(m, (START + 1, START)) for m in flat]
+
+
 def recover_roles(turns: DataFrame, model: dict) -> DataFrame:
-    """Adds ``state``, the index of each turn's most probable role."""
-    import pandas as pd
+    """Adds ``state``, the index of each turn's most probable role.
+
+    Turns are gathered once into one row per chunk; Python sees only the line
+    symbols of many chunks in one Arrow batch, and the texts stay in the JVM."""
     shared = turns.sparkSession.sparkContext.broadcast(model)
 
-    def reduce_turns(key, t):
-        steps = turn_steps(shared.value, t.sort_values(["turn", "text"])["symbols"])
-        out = steps[0]
-        for m in steps[1:]:
-            out = compose(out, m)
-        return pd.DataFrame({"conv": [key[0]], "idx": [key[1]], "m": [out.ravel()]})
-
-    def reduce_chunks(key, t):
-        steps = [np.reshape(m, (START + 1, START)) for m in t.sort_values("idx")["m"]]
-        out = steps[0]
-        for m in steps[1:]:
-            out = compose(out, m)
-        return pd.DataFrame({"conv": [key[0]], "idx": [key[1]], "m": [out.ravel()]})
-
-    def place_chunks(key, t):
-        t = t.sort_values("idx")
-        steps = [np.reshape(m, (START + 1, START)) for m in t["m"]]
-        path = best_path(steps, int(t["before"].iloc[0]), int(t["end"].iloc[0]))
-        return pd.DataFrame({"conv": t["conv"], "idx": t["idx"], "before": [int(t["before"].iloc[0]), *path[:-1]],
-                             "end": path})
-
-    def place_turns(key, t):
-        t = t.sort_values(["turn", "text"])
-        t["state"] = best_path(turn_steps(shared.value, t["symbols"]), int(t["before"].iloc[0]), int(t["end"].iloc[0]))
-        return t[["conv", "conv_id", "turn", "text", "state"]]
-
-    levels = [stored(turns.select("conv", "chunk", "turn", "text", "symbols").groupBy("conv", "chunk").applyInPandas(
-        reduce_turns, "conv string, idx long, m array<double>"), "chat-level")]
+    @F.pandas_udf("array<double>")
+    def reduce_turns(symbols: pd.Series) -> pd.Series:
+        return pd.Series([product(turn_steps(shared.value, s)) for s in symbols])
+
+    @F.pandas_udf("array<double>")
+    def reduce_chunks(flat: pd.Series) -> pd.Series:
+        return pd.Series([product(matrices(f)) for f in flat])
+
+    @F.pandas_udf("array<int>")
+    def place_chunks(flat: pd.Series, before: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([best_path(matrices(f), b, e) for f, b, e in zip(flat, before, end)])
+
+    @F.pandas_udf("array<int>")
+    def place_turns(symbols: pd.Series, before: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([best_path(turn_steps(shared.value, s), b, e) for s, b, e in zip(symbols, before, end)])
+
+    chunks = stored(turns.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(
+        F.struct("turn", "text", "symbols", "conv_id"))).alias("turns")), "chat-chunks")
+    levels = [stored(chunks.select("conv", F.col("chunk").alias("idx"), reduce_turns("turns.symbols").alias("m")),
+                     "chat-level")]
+
+    def gathered(rows, *more):
+        return rows.groupBy("conv", "up").agg(
+            F.sort_array(F.collect_list(F.struct("idx", "m"))).alias("parts"), *more)
+
     most = "max(abs(idx)) as top"
     while (levels[-1].selectExpr(most).first()["top"] or 0) >= CHUNK:
-        levels.append(stored(levels[-1].withColumn("up", F.floor(F.col("idx") / CHUNK)).groupBy("conv", "up").applyInPandas(
-            reduce_chunks, "conv string, idx long, m array<double>"), "chat-level"))
+        above = gathered(levels[-1].withColumn("up", F.floor(F.col("idx") / CHUNK)))
+        levels.append(stored(above.select("conv", F.col("up").alias("idx"), reduce_chunks("parts.m").alias("m")),
+                             "chat-level"))
     spots = None
     for level in reversed(levels):
         if spots is None:
@@ -155,11 +167,16 @@ def recover_roles(turns: DataFrame, model: dict) -> DataFrame:
         else:
             rows = level.withColumn("up", F.floor(F.col("idx") / CHUNK)).join(
                 spots.withColumnRenamed("idx", "up"), ["conv", "up"])
-        spots = stored(rows.groupBy("conv", "up").applyInPandas(
-            place_chunks, "conv string, idx long, before int, end int"), "chat-spots")
-    kind = {f.name: f.dataType.simpleString() for f in turns.schema}
-    return turns.join(spots.withColumnRenamed("idx", "chunk"), ["conv", "chunk"]).groupBy("conv", "chunk").applyInPandas(
-        place_turns, f"conv string, conv_id {kind['conv_id']}, turn {kind['turn']}, text string, state int")
+        path = gathered(rows, F.first("before").alias("before"), F.first("end").alias("end")).select(
+            "conv", "parts", "before", place_chunks("parts.m", "before", "end").alias("path"))
+        spots = stored(path.select("conv", F.posexplode(F.arrays_zip(
+            F.col("parts.idx").alias("idx"), F.concat(F.array("before"), F.expr("slice(path, 1, size(path) - 1)")).alias(
+                "before"), F.col("path").alias("end"))).alias("i", "s")).select("conv", "s.idx", "s.before", "s.end"),
+            "chat-spots")
+    placed = chunks.join(spots.withColumnRenamed("idx", "chunk"), ["conv", "chunk"]).select(
+        "conv", "turns", place_turns("turns.symbols", "before", "end").alias("states"))
+    return placed.select("conv", F.explode(F.arrays_zip("turns", "states")).alias("t")).select(
+        "conv", "t.turns.conv_id", "t.turns.turn", "t.turns.text", F.col("t.states").alias("state"))
 
 
 def render(role, text):
