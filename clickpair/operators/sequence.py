@@ -16,10 +16,6 @@ from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on ranges: each range's window is one task, so a few hundred
-# ranges already bound a task to a small share of a hot group.
-MAX_RANGES = 512
-
 
 def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
                   bucket_width: int = 1 << 16) -> DataFrame:
@@ -57,7 +53,8 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
     """Exclusive running sums of ``values`` in ``order`` inside ``groups``.
 
     A window ordered over the whole table (or over one hot group) runs in a
-    single task.  Here the ordering column is cut into ``n_ranges`` ranges at
+    single task.  Here the ordering column is cut into ``n_ranges`` ranges
+    (default: as many as shuffle partitions, so they grow with the cluster) at
     approximate quantiles (``QuantileDiscretizer``); every (group,
     range) computes local running sums, the per-(group, range) totals give
     each range its offset, and a join on (group, range) adds it back.  The
@@ -67,10 +64,10 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
     """
     values = [values] if isinstance(values, str) else list(values)
     groups = list(groups)
-    n = n_ranges or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n > 1:
-        # n + 1 split points from approximate quantiles (a bounded sample, as
-        # range partitioning takes); ranges assigned by binary search on the JVM
+        # n + 1 split points from approximate quantiles (one eager pass over
+        # the ordering column); ranges assigned by binary search on the JVM
         qd = QuantileDiscretizer(numBuckets=n, inputCol=order, outputCol="_rid_d",
                                  relativeError=1e-4, handleInvalid="keep")
         ranged = (qd.fit(df.select(F.col(order).cast("double").alias(order))).transform(df)

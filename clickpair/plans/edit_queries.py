@@ -198,7 +198,7 @@ def q_edit_features(spark, sf_dir):
 
 @register("edit_features_prose")
 def q_edit_features_prose(spark, sf_dir):
-    """§2.9 on the prose pairs (64-character heads), uncleaned.  No oracle:
+    """§2.9 on the prose pairs (whole texts), uncleaned.  No oracle:
     DuckDB's levenshtein and Jaro functions count bytes, these count
     characters; tests check the kernels on Unicode text by brute force."""
     return E.edit_features(dialogue_pairs(spark, sf_dir))

@@ -51,9 +51,13 @@ def rate_features(train: DataFrame, test: DataFrame, keys=RATE_KEYS, k: int = 5)
 
 
 def build_models(spark: SparkSession, train_path: str, test_path: str, n_train: int = 15000,
-                 fmt: str = "csv") -> dict:
+                 fmt: str = "csv", rounds: int = ML.GBT_ROUNDS,
+                 patience: int = ML.GBT_PATIENCE) -> dict:
     """Entry point A.  Returns predictions for the test file, hold-out AUC and
-    log loss of both models, and a feature-importance table."""
+    log loss of both models, the number of trees, and a feature-importance
+    table.  ``n_train`` bounds the rows the models are fitted on; the other
+    labelled rows are the hold-out, which also picks the number of trees
+    (``rounds`` at most, ``patience`` without a gain)."""
     train = _with_ids(scan_pairs(spark, train_path, True, fmt))
     test = _with_ids(scan_pairs(spark, test_path, False, fmt)).withColumn("label", F.lit(None).cast("int"))
     stacked = rate_features(train, test)
@@ -68,9 +72,9 @@ def build_models(spark: SparkSession, train_path: str, test_path: str, n_train:
     data = cut_lineage(ML.assemble(labelled, names, "features"))
     fit_rows = data.where(F.col("part") == "train")
     hold = data.where(F.col("part") == "test")
-    gbt = ML.gbt(validation="is_val").fit(data.withColumn("is_val", F.col("part") == "test"))
+    gbt = ML.fit_boosted(fit_rows, hold, max_iter=rounds, patience=patience)
     lr = ML.lr_l1(fit_rows.count(), ML.LR_C).fit(fit_rows)
-    metrics = {}
+    metrics = {"gbt_trees": gbt.getNumTrees}
     for name, m in (("gbt", gbt), ("lr", lr)):
         p = ML.positive_probability(m.transform(hold))
         metrics[f"{name}_auc"] = auc(p, "prediction", "label").first()["auc"]

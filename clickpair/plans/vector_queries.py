@@ -193,7 +193,7 @@ def _dist_sql(fixture: str = "vector_pairs", prelude: str | None = None) -> str:
     }
     assert list(exprs) == list(DISTANCES)
     body = ",\n  ".join(f"{e} {n}" for n, e in exprs.items())
-    return with_fixtures(fixture, f"select pair_id, label,\n  {body}\nfrom sc where x is not null and y is not null",
+    return with_fixtures(fixture, f"select pair_id, label,\n  {body}\nfrom sc",
                          extra=prelude or """
 sc as (select pair_id, label,
   case when list_max(x_raw) > list_min(x_raw) then list_transform(x_raw, lambda v:
@@ -205,8 +205,8 @@ sc as (select pair_id, label,
 
 @register("vector_distances", _dist_sql())
 def q_vector_distances(spark, sf_dir):
-    """#96-#114 on min-max shifted embedding pairs (F5)."""
+    """#96-#114 on min-max shifted embedding pairs (F5);
+    a constant vector gives NULL distances (cosine 0)."""
     v = vector_pairs(spark, sf_dir).select("pair_id", "label", minmax_shift("x_raw").alias("x"),
                                            minmax_shift("y_raw").alias("y"))
-    return (v.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-            .select("pair_id", "label", *distance_columns("x", "y")))
+    return v.select("pair_id", "label", *distance_columns("x", "y"))

@@ -24,10 +24,11 @@ def files(spark):
 
 def test_build_models(spark, files):
     d, n_test = files
-    out = EP.build_models(spark, os.path.join(d, "train"), os.path.join(d, "test"), n_train=600)
+    out = EP.build_models(spark, os.path.join(d, "train"), os.path.join(d, "test"), n_train=600,
+                          rounds=20, patience=5)
     assert out["predictions"].count() == n_test
     m = out["metrics"]
-    assert 0.0 <= m["gbt_auc"] <= 1.0 and m["lr_log_loss"] > 0
+    assert 1 <= m["gbt_trees"] <= 20 and 0.0 <= m["gbt_auc"] <= 1.0 and m["lr_log_loss"] > 0
     assert out["importance"].count() > 30
 
 
