@@ -12,7 +12,8 @@ document; ``keep="first"`` leaves the earliest copy (by id, then position).
 2.  Tasks pre-aggregate runs by context; packed blocks of anchors shuffle once,
     and anchors that occur once end there.  A bitmap of the repeated anchors
     (``FILTER_BYTES`` at most, else no filter) lets the second reading of the
-    texts emit only runs that matter.
+    texts emit only runs that matter.  Contexts with a thousandth of all runs
+    or more are known by then: that reading settles their copies itself.
 3.  Runs with equal contexts are repeated as a whole.  Where one anchor has
     different contexts, these are put in order of first occurrence and their
     windows' *suffix order* is built by prefix doubling.  Previous and next
@@ -46,6 +47,9 @@ WIDE = WINDOW - GRAM + 1               # grams in a window
 CHUNK, SEGMENT = 1 << 18, 8 << 20      # bytes of a numpy step; of a piece of a very long text
 FILTER_BYTES = 32 << 20
 BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 20
+#: Contexts with this part of all runs or more are settled where the runs are found.
+HOT_SHARE = 1000
+NAMES = ["context", "doc_id", "s0", "s1", "bytes", "spans"]
 #: Contexts of one anchor that are suffix-sorted together, at most.
 TOGETHER = 20_000
 _U = np.uint64
@@ -190,32 +194,72 @@ def passes(bitmap: bytes, anchor: np.ndarray) -> np.ndarray:
     return ((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def candidate_runs(rows: DataFrame, repeated: bytes, mixed: bytes) -> DataFrame:
-    """(context, doc_id, s0, s1, bytes) of the runs whose anchor passes the
-    filter of repeated anchors; ``bytes``, once per task and context, where it
-    passes that of anchors with different contexts."""
-    shared = rows.sparkSession.sparkContext.broadcast((repeated, mixed))
+def hot_verdicts(verdicts: DataFrame) -> np.ndarray:
+    """(context, n, doc_id, s0) rows, in order of context, of the contexts with
+    at least 1/``HOT_SHARE`` of all runs: ``HOT_SHARE`` rows at most."""
+    total = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    hot = verdicts.where(F.col("n") * HOT_SHARE >= total.scalar()).select("context", "n", "doc_id", "s0").collect()
+    return np.array(sorted(map(tuple, hot)), np.int64).reshape(-1, 4)
+
+
+def merged_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(rows, list of maximal spans per row) of spans in order of row and place."""
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])))[:len(row)]
+    last = np.append(new[1:], len(row))[:len(new)] - 1
+    of, first = np.unique(row[new], return_index=True)
+    return of, pa.ListArray.from_arrays(
+        pa.array(np.append(first, len(new)), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(lo[new]), pa.array(hi[last])], ["lo", "hi"]))
+
+
+def candidate_runs(rows: DataFrame, repeated: bytes, mixed: bytes, hot: np.ndarray, keep_first: bool) -> DataFrame:
+    """Runs whose anchor passes the filter of repeated anchors, as (context,
+    doc_id, s0, s1, bytes); ``bytes``, once per task and context, where the
+    anchor passes that of anchors with different contexts.
+
+    Runs of the ``hot`` contexts that go as a whole are settled here: touching
+    ones become one span, and a document's ``spans`` one row without context."""
+    shared = rows.sparkSession.sparkContext.broadcast((repeated, mixed, hot))
+
+    def settled(context, doc, s0):
+        """Which runs are copies of a hot context that go."""
+        table = shared.value[2]
+        if not len(table):
+            return np.zeros(len(context), bool)
+        at = np.minimum(np.searchsorted(table[:, 0], context), len(table) - 1)
+        _, n, d, p = table[at].T
+        goes = (d != doc) | (p != s0) if keep_first else n > 1
+        return (table[at, 0] == context) & goes
 
     def run(batches):
         seen: set = set()
         for batch, row, s0, s1, anchor, context, part, place in run_chunks(batches):
             keep = np.flatnonzero(passes(shared.value[0], anchor))
             differs = passes(shared.value[1], anchor[keep])
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            done = settled(context[keep].astype(np.int64), doc[row[keep]], s0[keep])
             raw = part.tobytes()
             data = []
-            for k, wanted in zip(keep.tolist(), differs.tolist()):
+            for i, (k, wanted) in enumerate(zip(keep.tolist(), differs.tolist())):
                 c = int(context[k])
                 if not wanted or c in seen:
                     data.append(None)
                 else:
                     seen.add(c)
                     data.append(raw[place[k]:place[k] + int(s1[k] - s0[k]) + WINDOW])
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    done[i] = False                      # its bytes travel with the run
+            gone, left = keep[done], keep[~done]
+            of, spans = merged_spans(row[gone], s0[gone], s1[gone] + WINDOW)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[left].astype(np.int64)), pa.array(doc[row[left]]), pa.array(s0[left]),
+                 pa.array(s1[left]), pa.array([d for d, x in zip(data, done.tolist()) if not x], pa.binary()),
+                 pa.nulls(len(left), spans.type)], NAMES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(context[keep].astype(np.int64)), pa.array(doc[row[keep]]), pa.array(s0[keep]),
-                 pa.array(s1[keep]), pa.array(data, pa.binary())], ["context", "doc_id", "s0", "s1", "bytes"])
+                [pa.nulls(len(of), pa.int64()), pa.array(doc[of]), pa.nulls(len(of), pa.int64()),
+                 pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.binary()), spans], NAMES)
 
-    return rows.mapInArrow(run, "context long, doc_id long, s0 long, s1 long, bytes binary")
+    return rows.mapInArrow(run, "context long, doc_id long, s0 long, s1 long, bytes binary, "
+                                "spans array<struct<lo:long,hi:long>>")
 
 
 # -- Suffix order -----------------------------------------------------------------
@@ -337,7 +381,8 @@ def repeated_spans(rows: DataFrame, keep: str) -> DataFrame:
     verdicts = stored(repeated_runs(rows, max(8, int(size // (BLOCK_RUNS * 40)))), "run-verdicts")
     mixed = verdicts.where("contexts > 1")
     filters = [anchor_filter(v, v.select("anchor").distinct().count()) for v in (verdicts, mixed)]
-    runs = stored(candidate_runs(rows, *filters), "candidate-runs")
+    every = stored(candidate_runs(rows, *filters, hot_verdicts(verdicts), keep == "first"), "candidate-runs")
+    runs = every.where("context is not null").drop("spans")
     data = runs.where("bytes is not null").select("context", "bytes").dropDuplicates(["context"])
     contexts = stored(mixed.join(data, "context"), "contexts")
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("b")).first()["b"]
@@ -346,7 +391,7 @@ def repeated_spans(rows: DataFrame, keep: str) -> DataFrame:
         flags = flags.unionByName(hashed_flags(contexts.where(F.col("contexts") > TOGETHER)))
     first = verdicts.select("context", "n", F.col("doc_id").alias("d"), F.col("s0").alias("p"),
                             (F.col("contexts") > 1).alias("mixed"))
-    found = heavy_join(runs.drop("bytes"), first, "context", "n").withColumn(
+    found = runs.drop("bytes").join(first, "context").withColumn(
         "is_first", (F.col("d") == F.col("doc_id")) & (F.col("p") == F.col("s0")))
     whole = (F.col("n") > 1) if keep == "none" else ~F.col("is_first")
     span = lambda a, b: F.array(F.struct(a.alias("lo"), b.alias("hi")))
@@ -355,7 +400,8 @@ def repeated_spans(rows: DataFrame, keep: str) -> DataFrame:
         flags.select("context", F.col("other" if keep == "none" else "earlier").alias("offsets")), "context").select(
         "doc_id", F.transform("offsets", lambda o: F.struct((F.col("s0") + o).alias("lo"),
                                                             (F.col("s0") + o + WINDOW).alias("hi"))).alias("spans"))
-    return plain.unionByName(fine).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hot = every.where("context is null").select("doc_id", "spans")
+    return hot.unionByName(plain).unionByName(fine).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", text_col: str = "text",
