@@ -44,7 +44,7 @@ from clickpair.llm.common import hash_prefix, heavy_join, ragged_index, sized, s
 
 WINDOW, GRAM = 200, 100
 WIDE = WINDOW - GRAM + 1               # grams in a window
-CHUNK, SEGMENT = 1 << 18, 8 << 20      # bytes of a numpy step; of a piece of a very long text
+CHUNK, SEGMENT = 1 << 18, 1 << 18      # bytes of a numpy step; of a piece of a very long text
 FILTER_BYTES = 32 << 20
 BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 20
 #: Contexts with this part of all runs or more are settled where the runs are found.
@@ -92,9 +92,12 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def run_chunks(batches):
-    """(batch, rows, first window, last window, anchor, context, bytes, context's place) per chunk."""
+    """(ids, rows, first window, last window, anchor, context, bytes, context's place) per chunk;
+    a batch's texts are let go before the next is read."""
     for batch in batches:
         buf, offsets = text_buffer(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        del batch
         row, start, end = segments(offsets)
         size = np.cumsum(end - start)
         lo = 0
@@ -105,8 +108,10 @@ def run_chunks(batches):
             off = np.concatenate(([0], size[lo:hi] - base))
             text, s0, s1, anchor, context = runs_of(part, off)
             origin = start[lo:hi] - offsets[:-1][row[lo:hi]]
-            yield batch, row[lo:hi][text], s0 + origin[text], s1 + origin[text], anchor, context, part, s0 + off[text]
+            yield ids, row[lo:hi][text], s0 + origin[text], s1 + origin[text], anchor, context, part, s0 + off[text]
             lo = hi
+        buf = part = None
+        pa.default_memory_pool().release_unused()
 
 
 def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
@@ -114,9 +119,8 @@ def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
     that occur twice or more, with its count and first place."""
     def emit(batches):
         held, size = [], 0
-        for batch, row, s0, _, anchor, context, _, _ in run_chunks(batches):
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            held.append((anchor, context, doc, s0))
+        for ids, row, s0, _, anchor, context, _, _ in run_chunks(batches):
+            held.append((anchor, context, ids[row], s0))
             size += len(row)
             if size > BLOCK_RUNS:
                 yield from pack(held)
@@ -233,10 +237,9 @@ def candidate_runs(rows: DataFrame, repeated: bytes, mixed: bytes, hot: np.ndarr
 
     def run(batches):
         seen: set = set()
-        for batch, row, s0, s1, anchor, context, part, place in run_chunks(batches):
+        for doc, row, s0, s1, anchor, context, part, place in run_chunks(batches):
             keep = np.flatnonzero(passes(shared.value[0], anchor))
             differs = passes(shared.value[1], anchor[keep])
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             done = settled(context[keep].astype(np.int64), doc[row[keep]], s0[keep])
             raw = part.tobytes()
             data = []
