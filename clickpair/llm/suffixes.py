@@ -46,7 +46,7 @@ WINDOW, GRAM = 200, 100
 WIDE = WINDOW - GRAM + 1               # grams in a window
 CHUNK, SEGMENT = 1 << 18, 1 << 18      # bytes of a numpy step; of a piece of a very long text
 FILTER_BYTES = 32 << 20
-BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 20
+BLOCK_RUNS, BLOCK_BYTES = 200_000, 1 << 18
 #: Contexts with this part of all runs or more are settled where the runs are found.
 HOT_SHARE = 1000
 NAMES = ["context", "doc_id", "s0", "s1", "bytes", "spans"]
