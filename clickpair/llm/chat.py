@@ -74,7 +74,8 @@ def turns_of(rows: DataFrame) -> DataFrame:
 
 def fit(turns: DataFrame) -> dict[str, np.ndarray]:
     """Log probabilities from counts over the labelled turns outside the held
-    out fifth; start and transition counts meet by an equi-join on the turn."""
+    out fifth; start and transition counts meet by an equi-join on the turn, after
+    turns with equal numbers are counted by role."""
     code = F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(i))])
     known = turns.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
                         & (F.crc32(F.col("conv_id").cast("string")) % 5 != 0)).withColumn("r", F.get(
@@ -82,10 +83,11 @@ def fit(turns: DataFrame) -> dict[str, np.ndarray]:
     emit, move = np.ones((START, SYMBOLS)), np.ones((START + 1, START))
     for r in known.select("r", F.explode("symbols").alias("s")).groupBy("r", "s").count().collect():
         emit[r["r"], r["s"]] += r["count"]
-    after = known.select("conv", "turn", "r")
-    before = known.select("conv", (F.col("turn") + 1).alias("turn"), F.col("r").alias("p"))
-    for r in after.join(before, ["conv", "turn"], "left").groupBy("p", "r").count().collect():
-        move[START if r["p"] is None else r["p"], r["r"]] += r["count"]
+    after = known.groupBy("conv", "turn", "r").agg(F.count("r").cast("double").alias("n"))
+    before = after.select("conv", (F.col("turn") + 1).alias("turn"), F.col("r").alias("p"), F.col("n").alias("m"))
+    for r in after.join(before, ["conv", "turn"], "left").groupBy("p", "r").agg(
+            F.sum(F.col("n") * F.coalesce("m", F.lit(1.0))).alias("moves")).collect():
+        move[START if r["p"] is None else r["p"], r["r"]] += r["moves"]
     return {"emit": np.log(emit / emit.sum(1, keepdims=True)), "move": np.log(move / move.sum(1, keepdims=True))}
 
 
