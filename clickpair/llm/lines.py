@@ -2,13 +2,12 @@
 
 1.  Lines are hashed; a line with words that stands in two or more documents is
     shared, and its holder with the smallest id is its first holder.
-2.  A document is paired with the first holders of its shared lines: at most
-    one pair per line and document, never the pairs within a group.  A pair is
-    aligned if it shares a *rare* line (in at most ``rare`` documents).  Frequent
-    lines have an exact way of their own: lines of a group of thousands of
-    copies are frequent, so a pair also counts if it shares two or more of
-    them, or one that makes up at least half of the later document's lines.  A
-    lone boilerplate line between unrelated texts makes no pair.
+2.  A document is paired with the first holders of its shared lines and of its
+    shared runs: at most one pair per line and document, never the pairs within
+    a group.  A run is the shortest sequence of two or more lines from some line
+    on that has ``min_chars`` characters.  A common block starts with such a run
+    or with one line of that length, so a passage of short frequent lines finds
+    its first holder too, however many documents hold it.
 3.  Each pair is aligned by patience diff (unique common lines, longest
     increasing run, recursion between its anchors; equal ends match).
 4.  Runs of aligned lines with ``min_chars`` characters or more are deleted
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import BROADCAST_BYTES, heavy_join, let, stored
+from clickpair.llm.common import BROADCAST_BYTES, _powers, heavy_join, let, mix64, stored
 
 RARE, MIN_CHARS = 8, 40
 
@@ -98,6 +97,19 @@ def aligned_blocks(a: list, b: list, chars: list, min_chars: int) -> list[int]:
     return out
 
 
+def run_keys(lines: np.ndarray, chars: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, n + 1 offsets): per document, its runs of two or more lines."""
+    size = np.concatenate(([0], np.cumsum(chars, dtype=np.int64)))
+    power, inverse = _powers(len(lines))
+    total = np.zeros(len(lines) + 1, np.uint64)
+    np.cumsum(mix64(lines.astype(np.uint64)) * power[:len(lines)], out=total[1:])
+    start = np.arange(len(lines))
+    end = np.searchsorted(size, size[:-1] + min_chars)
+    ok = (end > start + 1) & (end <= np.repeat(off[1:], np.diff(off)))
+    start, end = start[ok], end[ok]
+    return mix64((total[end] - total[start]) * inverse[start]).astype(np.int64), np.searchsorted(start, off)
+
+
 def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
                id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: ``doc_id, text`` without the deleted lines,
@@ -112,14 +124,23 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
         F.transform("s", lambda x: F.length(x)).alias("chars")).groupBy("doc_id").agg(
         F.min_by("lines", F.size("lines")).alias("lines"), F.min_by("chars", F.size("lines")).alias("chars")),
         "lines")
-    held = hashed.select("doc_id", F.explode(F.array_distinct("lines")).alias("line"),
-                         F.size("lines").alias("n"))
+    kind = hashed.schema["doc_id"].dataType.simpleString()
+
+    def runs(batches):
+        for batch in batches:
+            found, at = run_keys(batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(),
+                                 np.append(0, np.cumsum(batch.column(1).value_lengths().to_numpy())), min_chars)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found))],
+                ["doc_id", "lines", "runs"])
+
+    keyed = hashed.mapInArrow(runs, f"doc_id {kind}, lines array<long>, runs array<long>")
+    held = stored(keyed.select("doc_id", F.explode(F.array_distinct(F.concat("lines", "runs"))).alias("line")),
+                  "held-lines")
     shared = stored(held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).where(
         "df > 1"), "shared-lines")
-    pairs = heavy_join(held, shared, "line", "df").where("first < doc_id").groupBy("doc_id", "first").agg(
-        F.count(F.lit(1)).alias("common"), F.min("df").alias("least"), F.max("n").alias("n")).where(
-        (F.col("least") <= rare) | (F.col("common") >= 2) | (2 * F.col("common") >= F.col("n")))
-    pairs = stored(pairs.select("doc_id", "first"), "line-pairs")
+    pairs = heavy_join(held, shared, "line", "df").where("first < doc_id").select("doc_id", "first").distinct()
+    pairs = stored(pairs, "line-pairs")
     originals = stored(hashed.select(F.col("doc_id").alias("first"), F.col("lines").alias("a")).join(
         pairs.groupBy("first").agg(F.count(F.lit(1)).alias("copies")), "first"), "originals")
     both = heavy_join(pairs, originals, "first", "copies").join(hashed, "doc_id").select(
@@ -134,7 +155,6 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
                 [key.take(pa.array(np.repeat(np.arange(len(n)), n))),
                  pa.array([p for f in found for p in f], pa.int32())], ["doc_id", "at"])
 
-    kind = hashed.schema["doc_id"].dataType.simpleString()
     cut = stored(both.mapInArrow(align, f"doc_id {kind}, at int").groupBy("doc_id").agg(
         F.collect_set("at").alias("cut")), "cut-lines")
     size = cut.agg(F.coalesce(F.sum(F.size("cut") * 4 + 48), F.lit(0)).alias("b")).first()["b"]

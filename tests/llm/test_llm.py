@@ -133,6 +133,25 @@ def test_lines(spark, edge, empty):
     assert lines.patience(list("abcxyd"), list("abzcyd")) == [(0, 0), (1, 1), (2, 3), (4, 4), (5, 5)]
 
 
+def kept_lines(docs):
+    return {r.doc_id: r.text.split("\n") for r in lines.line_dedup(docs).collect()}
+
+
+def test_lines_in_many_documents(spark):
+    """A long line, and a passage of short lines, in more than RARE documents
+    that share nothing else: only the first holder keeps them."""
+    ship_package(spark)
+    own = lambda d: [f"{w} {d} of its own" for w in WORDS[:5]]
+    line, passage = "one line of the same sixty characters in every document here", ["first half of a passage", "second half of a passage"]
+    rows = [(d, "\n".join([*own(d)[:2], line, *own(d)[2:]])) for d in range(20)]
+    rows += [(100, passage[0]), (101, passage[1])]
+    rows += [(d, "\n".join([*own(d)[:3], *passage, *own(d)[3:]])) for d in range(102, 122)]
+    got = kept_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    for d, text in rows:
+        stays = d in (0, 100, 101, 102)
+        assert got[d] == (text.split("\n") if stays else own(d))
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
