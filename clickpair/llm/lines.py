@@ -4,7 +4,8 @@
     shared, and its holder with the smallest id is its first holder.
 2.  A document is paired with the first holders of its shared lines and of its
     shared runs: at most one pair per line and document, never the pairs within
-    a group.  A run is the shortest sequence of two or more lines from some line
+    a group.  A line or run in at most ``rare`` documents pairs each of them with
+    every earlier one, so at most ``rare`` - 1 pairs per line and document.  A run is the shortest sequence of two or more lines from some line
     on that has ``min_chars`` characters.  A common block starts with such a run
     or with one line of that length, so a passage of short frequent lines finds
     its first holder too, however many documents hold it.
@@ -139,8 +140,13 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
                   "held-lines")
     shared = stored(held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df")).where(
         "df > 1"), "shared-lines")
-    pairs = heavy_join(held, shared, "line", "df").where("first < doc_id").select("doc_id", "first").distinct()
-    pairs = stored(pairs, "line-pairs")
+    often = heavy_join(held, shared.where(F.col("df") > rare), "line", "df").where("first < doc_id").select(
+        "doc_id", "first")
+    few = held.join(shared.where(F.col("df") <= rare).select("line"), "line").groupBy("line").agg(
+        F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    few = few.select("ids", F.posexplode("ids").alias("k", "doc_id")).where("k > 0").select(
+        "doc_id", F.explode(F.slice("ids", F.lit(1), F.col("k"))).alias("first"))
+    pairs = stored(often.unionByName(few).distinct(), "line-pairs")
     originals = stored(hashed.select(F.col("doc_id").alias("first"), F.col("lines").alias("a")).join(
         pairs.groupBy("first").agg(F.count(F.lit(1)).alias("copies")), "first"), "originals")
     both = heavy_join(pairs, originals, "first", "copies").join(hashed, "doc_id").select(
