@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from clickpair.functions.text import tokenize
 from clickpair.functions.vectors import distance_columns, minmax_shift
 from clickpair.operators import embed as EM
@@ -57,3 +58,15 @@ def test_constant_vectors_give_null_distances(spark):
     assert rows[0].manhattan == 0.0
     # the cosine is 0 where a norm is missing or zero
     assert {k: x for k, x in rows[1].asDict().items() if x is not None} == {"cosine_w2v": 0.0}
+
+
+def test_queries_ask_for_all_rounds(spark, monkeypatch):
+    asked, fit = [], ML.fit_boosted
+
+    def few(train, valid, max_iter=ML.GBT_ROUNDS, patience=ML.GBT_PATIENCE, **kw):
+        asked.append((max_iter, patience, valid.isEmpty()))
+        return fit(train, valid, max_iter=2, patience=1, **kw)
+    monkeypatch.setattr(ML, "fit_boosted", few)
+    for name in ("train_gbt", "feature_importance"):
+        assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [(2000, 300, False)] * 2
