@@ -368,6 +368,15 @@ def test_chat(spark, monkeypatch):
     assert chat.split_transcripts(raw, "id", "t").count() == 4
 
 
+def test_chat_counts_every_labelled_turn(spark):
+    ship_package(spark)
+    rows = [(c, t, f"{r} says\nso", r) for c in range(30) for t, r in enumerate(["user", "assistant"] * 2)]
+    model = chat.fit(chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")))
+    moves = np.exp(model["move"])                  # counts plus one, over their sum
+    assert np.allclose(moves[1], [1 / 63, 1 / 63, 61 / 63]) and np.allclose(moves[chat.START], [1 / 33, 31 / 33, 1 / 33])
+    assert np.isclose(np.exp(model["emit"][1]).max(), 61 / (120 + chat.SYMBOLS))
+
+
 def test_packing(spark, edge, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(bpe.default_vocabulary())
