@@ -1,6 +1,8 @@
 """Chat formatting (operator 8): transcripts become canonical turns.
 
-A transcript is a sequence of blocks (turns) of lines.  A hidden Markov model,
+A transcript is a sequence of blocks (turns) of lines.  A row that names a
+speaker after its first line holds several and is cut into its blocks; any
+other row is one block.  A hidden Markov model,
 whose hidden state is the role of a block, emits the features of its lines:
 speaker marker, place in the block, length, question mark, list or code line.
 Start, transition and emission probabilities are counts over all labelled
@@ -17,7 +19,7 @@ Edge cases: null text is the empty text (one empty line); rows with a null
 conversation or turn have no place in a transcript and are rendered as a
 conversation of their own; repeated rows are one turn; turns with equal numbers
 stand in the order of their text; roles outside the model's are not learned
-from; an empty table gives an empty result; other columns are not read.
+from, nor is the one role of a row with several blocks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +40,16 @@ MARKERS = ("(?i)^\\s*(system|instructions?)\\s*[:>]", "(?i)^\\s*(user|human|ques
 SYMBOLS = 5 * 2 * 2 * 8
 
 
+#: A speaker after the first line of a text, and where such a text is cut.
+SPEAKER = "\\n[ \\t]*(?i:system|user|human|assistant|bot|ai|question|answer)[ \\t]*:"
+CUT = f"\\n[ \\t]*\\n|\\n(?={SPEAKER[2:]})"
+
+
 def split_transcripts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(conv_id, turn, text) of raw transcripts: a block starts after a blank
     line or at a speaker marker."""
-    cut = "\\n[ \\t]*\\n|\\n(?=[ \\t]*(?i:system|user|human|assistant|bot|ai|question|answer)[ \\t]*:)"
     return df.select(F.col(id_col).alias("conv_id"), F.posexplode(F.split(
-        F.coalesce(text_col, F.lit("")), cut)).alias("turn", "text")).withColumn("turn", F.col("turn").cast("long"))
+        F.coalesce(text_col, F.lit("")), CUT)).alias("turn", "text")).withColumn("turn", F.col("turn").cast("long"))
 
 
 def line_symbols(text):
@@ -60,15 +66,20 @@ def line_symbols(text):
 
 
 def turns_of(rows: DataFrame) -> DataFrame:
-    """Distinct turns with their place, chunk and line symbols."""
+    """Blocks of the distinct turns with their place, chunk and line symbols;
+    ``whole`` is the text of a turn with several blocks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     cols = ["conv_id", "turn", "text", *(["role"] if "role" in rows.columns else [])]
+    several = F.col("text").rlike(SPEAKER)
+    role = [F.when(~several, F.col("role")).alias("role")] if cols[3:] else []
     return rows.select("conv_id", "turn", text.alias("text"), *cols[3:]).distinct().withColumn(
         "conv", F.when(alone, F.concat_ws(" ", F.lit("row"), F.xxhash64(*cols).cast("string"),
                                           F.sha2(F.col("text"), 256))).otherwise(
             F.concat(F.lit("="), F.col("conv_id").cast("string")))).withColumn(
-        "chunk", F.when(alone, F.lit(0)).otherwise(F.floor(F.col("turn") / CHUNK)).cast("long")).withColumn(
+        "chunk", F.when(alone, F.lit(0)).otherwise(F.floor(F.col("turn") / CHUNK)).cast("long")).select(
+        "conv_id", "turn", *role, "conv", "chunk", F.when(several, F.col("text")).alias("whole"), F.posexplode(
+            F.when(several, F.split("text", CUT)).otherwise(F.array("text"))).alias("block", "text")).withColumn(
         "symbols", line_symbols(F.col("text")))
 
 
@@ -146,8 +157,10 @@ def recover_roles(turns: DataFrame, model: dict) -> DataFrame:
     def place_turns(symbols: pd.Series, before: pd.Series, end: pd.Series) -> pd.Series:
         return pd.Series([best_path(turn_steps(shared.value, s), b, e) for s, b, e in zip(symbols, before, end)])
 
-    chunks = stored(turns.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(
-        F.struct("turn", "text", "symbols", "conv_id"))).alias("turns")), "chat-chunks")
+    order = F.coalesce("whole", "text").alias("order")   # blocks of one text stay together
+    chunks = stored(turns.groupBy("conv", "chunk").agg(F.transform(F.sort_array(F.collect_list(
+        F.struct("turn", order, "block", "text", "symbols", "conv_id"))), lambda t: t.dropFields("order")).alias(
+        "turns")), "chat-chunks")
     levels = [stored(chunks.select("conv", F.col("chunk").alias("idx"), reduce_turns("turns.symbols").alias("m")),
                      "chat-level")]
 
@@ -177,7 +190,7 @@ def recover_roles(turns: DataFrame, model: dict) -> DataFrame:
     placed = chunks.join(spots.withColumnRenamed("idx", "chunk"), ["conv", "chunk"]).select(
         "conv", "turns", place_turns("turns.symbols", "before", "end").alias("states"))
     return placed.select("conv", F.explode(F.arrays_zip("turns", "states")).alias("t")).select(
-        "conv", "t.turns.conv_id", "t.turns.turn", "t.turns.text", F.col("t.states").alias("state"))
+        "conv", "t.turns.conv_id", "t.turns.turn", "t.turns.block", "t.turns.text", F.col("t.states").alias("state"))
 
 
 def render(role, text):
@@ -185,10 +198,10 @@ def render(role, text):
 
 
 def format_chats(rows: DataFrame, model: dict | None = None) -> DataFrame:
-    """One row per turn: ``conv_id, turn, role_found, rendered``.  The input has
+    """One row per block of a turn: ``conv_id, turn, block, role_found, rendered``.  The input has
     ``conv_id, turn, text``, and ``role`` where the model is to be fitted."""
     turns = stored(turns_of(rows), "chat-turns")
     model = model or fit(turns)
     role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("state"))
     return recover_roles(turns, model).select(
-        "conv_id", "turn", role.alias("role_found"), render(role, F.col("text")).alias("rendered"))
+        "conv_id", "turn", "block", role.alias("role_found"), render(role, F.col("text")).alias("rendered"))

@@ -377,6 +377,19 @@ def test_chat_counts_every_labelled_turn(spark):
     assert np.isclose(np.exp(model["emit"][1]).max(), 61 / (120 + chat.SYMBOLS))
 
 
+def test_chat_cuts_rows_with_several_speakers(spark):
+    ship_package(spark)
+    rows = [(c, t, f"{r}: words {c}\n\nmore", r.lower()) for c in range(30) for t, r in enumerate(["User", "Assistant"] * 2)]
+    rows += [(99, 7, "User: hi\nthere\nAssistant: yes\n\nso", None), (99, 7, "User: hi\nAssistant: no", None)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
+    found = chat.format_chats(docs).collect()
+    got = {(r.rendered.split("\n", 1)[1].removesuffix("<|end|>"), r.block) for r in found if r.conv_id == 99}
+    assert got == {("User: hi\nthere", 0), ("Assistant: yes", 1), ("so", 2), ("User: hi", 0), ("Assistant: no", 1)}
+    roles = {r.rendered.removesuffix("<|end|>").split("\n")[1]: r.role_found for r in found if r.conv_id == 99}
+    assert roles["User: hi"] == "user" and roles["Assistant: yes"] == roles["Assistant: no"] == "assistant"
+    assert sum(r.conv_id != 99 and r.block == 0 for r in found) == 120 == len(found) - 5
+
+
 def test_packing(spark, edge, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(bpe.default_vocabulary())
