@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm import bpe, chat, exact, jaccard, lines, packing, quality_mil, quality_rules, suffixes, toxicity
+from clickpair.llm import (bpe, chat, exact, jaccard, lines, mixing, packing, quality_mil, quality_rules,
+                           suffixes, toxicity)
 from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
 
@@ -77,3 +78,8 @@ def op9(spark, sf_dir):
 @query("op10_quality_mil")
 def op10(spark, sf_dir):
     return quality_mil.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op11_mixing", mixing.SQL)
+def op11(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
