@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm import (bpe, chat, exact, jaccard, lines, mixing, packing, quality_mil, quality_rules,
+from clickpair.llm import (bpe, chat, exact, jaccard, lines, merkle, mixing, packing, quality_mil, quality_rules,
                            suffixes, toxicity)
 from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
@@ -83,3 +83,8 @@ def op10(spark, sf_dir):
 @query("op11_mixing", mixing.SQL)
 def op11(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op12_merkle", merkle.SQL)
+def op12(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir), changed=merkle.every_third())
