@@ -155,7 +155,7 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
-# -- Checked broadcasts and components ----------------------------------------
+# -- Checked broadcasts, places and components ----------------------------------------
 
 BROADCAST_BYTES = 32 << 20
 
@@ -166,6 +166,28 @@ def sized(table: DataFrame, row_bytes: int = 48) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+#: Rows that one range of ``placed`` sorts, about.
+TASK_ROWS = 100_000
+
+
+def placed(rows: DataFrame, order: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Adds ``place``, 0, 1, ... within ``g``, and ``total``, the rows of ``g``.
+    ``order`` must tell all rows apart.  Ranges of the order are sorted apart,
+    and the counts of a range, one row per range and ``g``, are its offsets; so
+    no task holds a whole ``g``."""
+    parts = max(1, rows.count() // task_rows)
+    by = [F.asc_nulls_first(c) for c in order]
+    ranged = stored(rows.repartitionByRange(parts, "g", *by).sortWithinPartitions("g", *by).withColumn(
+        "part", F.spark_partition_id()).withColumn(
+        "at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    counts = ranged.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"))
+    offsets = stored(counts.selectExpr(
+        "g", "part", "lo", "coalesce(sum(n) over (partition by g order by part rows between unbounded preceding "
+        "and 1 preceding), 0) as before", "sum(n) over (partition by g) as total"), "offsets")
+    return ranged.join(sized(offsets, 128), ["g", "part"]).withColumn(
+        "place", F.col("before") + F.col("at") - F.col("lo")).drop("part", "at", "lo", "before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every id in ``edges`` (a, b): label is the smallest id
     that is reachable.  Each round hooks every id to its smallest neighbour,

@@ -39,12 +39,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import LOWER, UPPER, sized, stored
+from clickpair.llm.common import LOWER, TASK_ROWS, UPPER, placed, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 RUN, LOCAL_LEVELS = 8, 4
-#: Leaves that one range sorts, about.
-TASK_ROWS = 100_000
 
 
 def digest(text: str) -> str:
@@ -83,29 +81,13 @@ def fold(node: str, path: list[str]) -> str:
     return node
 
 
-def placed(rows: DataFrame, order: list[str], task_rows: int) -> DataFrame:
-    """Adds ``place``, 0, 1, ... within ``g``, and ``total``, the rows of ``g``.
-    ``order`` must tell all rows apart."""
-    parts = max(1, rows.count() // task_rows)
-    by = [F.asc_nulls_first(c) for c in order]
-    ranged = stored(rows.repartitionByRange(parts, "g", *by).sortWithinPartitions("g", *by).withColumn(
-        "part", F.spark_partition_id()).withColumn(
-        "at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
-    counts = ranged.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"))
-    offsets = stored(counts.selectExpr(
-        "g", "part", "lo", "coalesce(sum(n) over (partition by g order by part rows between unbounded preceding "
-        "and 1 preceding), 0) as before", "sum(n) over (partition by g) as total"), "offsets")
-    return ranged.join(sized(offsets, 128), ["g", "part"]).withColumn(
-        "place", F.col("before") + F.col("at") - F.col("lo")).drop("part", "at", "lo", "before")
-
-
 def folded_up(nodes: DataFrame, most: int, levels: int) -> list[DataFrame]:
     """Node tables (g, place, total, digest, ...), each with the superblock
     ``block`` of its rows; the last has one node per ``g``."""
     width = RUN ** levels
     rounds = [nodes.withColumn("block", F.expr(f"place div {width}"))]
 
-    def top(key, t: pd.DataFrame) -> pd.DataFrame:
+    def top(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("place")
         total = int(t["total"].iloc[0])
         node = climb(t["digest"].tolist(), total, levels)[-1]
@@ -122,7 +104,7 @@ def folded_up(nodes: DataFrame, most: int, levels: int) -> list[DataFrame]:
 def exchange(nodes: DataFrame, outer: DataFrame, levels: int, keep: list[str], schema: str, finish) -> DataFrame:
     """Cogroup a round's nodes with the outer nodes of their superblocks;
     ``finish`` makes result columns from the kept ones, paths and roots."""
-    def work(key, t: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, t: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("place")
         local = climb(t["digest"].tolist(), int(t["total"].iloc[0]), levels)
         beyond = list(o["path"].iloc[0])

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm import (bpe, chat, exact, jaccard, lines, merkle, mixing, packing, quality_mil, quality_rules,
-                           suffixes, toxicity)
+from clickpair.llm import (bpe, chat, exact, jaccard, lines, merkle, mixing, packing, phrases, quality_mil,
+                           quality_rules, suffixes, toxicity)
 from clickpair.llm.common import documents, labels
 from clickpair.session import ship_package
 
@@ -88,3 +88,8 @@ def op11(spark, sf_dir):
 @query("op12_merkle", merkle.SQL)
 def op12(spark, sf_dir):
     return merkle.manifest(documents(spark, sf_dir), changed=merkle.every_third())
+
+
+@query("op13_phrases", phrases.SQL)
+def op13(spark, sf_dir):
+    return phrases.phrases(documents(spark, sf_dir))
