@@ -566,7 +566,7 @@ SQL = rf"""
 with p as (select coalesce(lang, '{UNKNOWN}') as lang, unnest(string_split_regex(
              translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
-f as (select lang, phrase, count(*) as a from (
+f as materialized (select lang, phrase, count(*) as a from (
         select lang, unnest(ws) as phrase from w
         union all
         select lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w
@@ -575,11 +575,11 @@ f as (select lang, phrase, count(*) as a from (
       group by lang, phrase),
 n as (select lang, sum(len(ws))::bigint as n from w group by lang),
 c as (select *, string_split(phrase, ' ') as ws from f where a >= {MIN_COUNT} and contains(phrase, ' ')),
-k as (select *, unnest(range(1, len(ws))) as k from c),
+k as materialized (select *, array_to_string(ws[:k], ' ') as first, array_to_string(ws[k + 1:], ' ') as rest
+      from (select *, unnest(range(1, len(ws))) as k from c)),
 s as (select k.*, f1.a as l, f2.a as r,
         (1000000 * k.a::hugeint * k.a::hugeint // (f1.a::hugeint * f2.a::hugeint))::bigint as score
-      from k join f f1 on f1.lang = k.lang and f1.phrase = array_to_string(ws[:k], ' ')
-             join f f2 on f2.lang = k.lang and f2.phrase = array_to_string(ws[k + 1:], ' ')),
+      from k join f f1 on f1.lang = k.lang and f1.phrase = first join f f2 on f2.lang = k.lang and f2.phrase = rest),
 b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
 i as (select lang, part, max(a) as a from (
         select lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) as part from c where len(ws) = 3)
