@@ -47,7 +47,7 @@ from clickpair.llm.common import LOWER, UPPER, heavy_join, mix64, placed, ragged
 MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 #: Text bytes of a shard, arcs a level of a segment, and transducers united at once.
-SHARD_BYTES, SEGMENT, FAN = 8 << 20, 1 << 16, 16
+SHARD_BYTES, SEGMENT, FAN = 4 << 20, 1 << 16, 16
 #: Bytes of each word that a bound of a range keeps.
 BOUND_BYTES = 32
 LEVELS = MAX_WORDS + 1
