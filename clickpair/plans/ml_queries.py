@@ -18,6 +18,7 @@ from clickpair.plans.oracle_sql import with_fixtures
 from clickpair.plans.pair_queries import TOKEN_SET_SQL, q_token_set_features
 from clickpair.session import cut_lineage
 from clickpair.sources.fixtures import basket_pairs, dialogue_pairs
+from clickpair.streaming import online
 
 _HASH_SQL = "('0x' || substr(md5('2019:' || cast(pair_id as varchar)), 1, 15))::bigint"
 _TERMS_SQL = """
@@ -200,24 +201,34 @@ def q_train_lr_l1(spark, sf_dir):
 @register("train_lr_incremental")
 def q_train_lr_incremental(spark, sf_dir):
     """#127 incremental training as a stream: train-split features land in
-    chunks of about 5,000 rows (one file each), every micro-batch refits on
-    all chunks seen so far; the last model scores every row."""
-    import math
-    import os
-    import uuid
-    from clickpair.session import checkpoint_dir
-    from clickpair.streaming import jobs
+    files of about 5,000 rows, every micro-batch moves the weights and is
+    forgotten; the last weights score every row."""
     names = feature_names()
     f = cut_lineage(_features(spark, sf_dir))
     train = f.where(F.col("split") == "train").select("pair_id", "label", *names)
-    n_chunks = max(1, math.ceil(train.count() / 5000))
-    landing = os.path.join(checkpoint_dir(spark), "landing", uuid.uuid4().hex)
-    train.repartitionByRange(n_chunks, "pair_id").write.parquet(landing)
-    q, base = jobs.incremental_lr_stream(spark, landing, spark.read.parquet(landing).schema, names)
+    landing, _ = online.landed(train, spark)
+    q, base = online.online_lr_stream(spark, landing, spark.read.parquet(landing).schema, names)
     q.awaitTermination()
-    model = jobs.latest_model(base, spark)
-    scored = model.transform(ML.assemble(f, names, "features"))
-    return ML.positive_probability(scored).select("pair_id", "split", "label", "prediction")
+    return online.scored(f, online.read_state(spark, base, names)).select("pair_id", "split", "label", "prediction")
+
+
+@register("online_lr_check", with_fixtures("basket_pairs", """
+select cast(ceil(count(*) / 5000.0) as int) n_epochs, count(*) n_rows, true learns, true forgets from basket_pairs"""))
+def q_online_lr_check(spark, sf_dir):
+    """#127 on a label that the features decide (longer query than title):
+    epochs, rows learned from, whether the ranking is nearly right, and whether
+    no more than the newest versions are kept."""
+    names = TOKEN_SET_FEATURES
+    f = q_token_set_features(spark, sf_dir).withColumn("label", (F.col("query_len") > F.col("title_len")).cast("int"))
+    f = cut_lineage(f.select("pair_id", "label", *names))
+    landing, _ = online.landed(f, spark)
+    q, base = online.online_lr_stream(spark, landing, f.schema, names)
+    q.awaitTermination()
+    state = online.read_state(spark, base, names)
+    kept = len(online._versions(spark, base))
+    return auc(online.scored(f, state), "prediction", "label").select(
+        F.lit(state.epoch + 1).alias("n_epochs"), F.lit(state.rows).cast("long").alias("n_rows"),
+        (F.col("auc") > 0.95).alias("learns"), F.lit(kept <= online.KEEP).alias("forgets"))
 
 
 @register("train_gbt")
@@ -279,6 +290,3 @@ def q_cv_ensemble(spark, sf_dir):
     preds, _aucs = ML.cv_ensemble(t, t, "pair_id", "terms", "label", chunk_size=5_000_000, k=5,
                                   C=0.2, min_df=ML.NGRAM_MIN_DF)
     return preds
-
-
-__all__ = ["auc"]

@@ -117,48 +117,9 @@ def pair_features_stream(spark: SparkSession, source: str, schema, out: str | No
     return _trigger(w, available_now, interval).start(), out
 
 
-def incremental_lr_stream(spark: SparkSession, source: str, schema, features: list[str],
-                          label: str = "label", C: float = 0.2, files_per_batch: int = 1,
-                          available_now: bool = True, interval: str = "1 minute",
-                          run: str | None = None):
-    """Incremental training over arriving feature files (SGD ``partial_fit``
-    re-aimed): every micro-batch appends its rows to ``seen`` (partition
-    ``epoch``, dynamic overwrite, so a retried batch is idempotent), refits L1
-    logistic regression on everything seen so far and saves the model under
-    ``models/epoch=<id>``.  Returns (query, base folder)."""
-    from clickpair.operators import ml as ML
-
-    base = _stream_dir(spark, "incremental_lr", run)
-    seen, models = os.path.join(base, "seen"), os.path.join(base, "models")
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-           .parquet(stream_path(source)))
-
-    def refit(batch: DataFrame, epoch: int) -> None:
-        (batch.withColumn("epoch", F.lit(epoch).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(seen))
-        acc = ML.assemble(spark.read.parquet(seen), features, "features")
-        n = acc.count()
-        if n:
-            ML.lr_l1(n, C, "features", label).fit(acc).write().overwrite().save(
-                os.path.join(models, f"epoch={epoch:09d}"))
-
-    w = src.writeStream.foreachBatch(refit).option("checkpointLocation", os.path.join(base, "checkpoint"))
-    return _trigger(w, available_now, interval).start(), base
-
-
 def list_dir(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder of any Hadoop file system (local, HDFS, S3, ...)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [st.getPath().getName() for st in fs.listStatus(p)]
-
-
-def latest_model(base: str, spark: SparkSession | None = None):
-    """The most recent model saved by ``incremental_lr_stream``."""
-    from pyspark.ml.classification import LogisticRegressionModel
-    spark = spark or SparkSession.getActiveSession()
-    models = os.path.join(base, "models")
-    last = sorted(d for d in list_dir(spark, models) if d.startswith("epoch="))[-1]
-    return LogisticRegressionModel.load(os.path.join(models, last))
