@@ -30,6 +30,7 @@ of a task, however long.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 from bisect import bisect_right
@@ -104,19 +105,15 @@ class Counts:
             par = self.levels[d + 1][0]
             if start[d + 1] < hi[d + 1]:
                 start[d] = min(start[d], int(par[start[d + 1]]))
-        levels, used = [], []
+        levels, used = [], np.zeros(len(self.words), bool)
         for d, (par, label, weight) in enumerate(self.levels):
             a, b = start[d], max(hi[d], start[d])
             own = weight[a:b].copy()
             own[:lo[d] - a] = 0
             levels.append((par[a:b] - (start[d - 1] if d else 0), label[a:b], own))
-            used.append(label[a:b])
-        kept, codes = np.unique(np.concatenate(used), return_inverse=True)
-        at, out = 0, []
-        for par, label, weight in levels:
-            out.append((par, codes[at:at + len(label)], weight))
-            at += len(label)
-        return Counts(self.words.take(pa.array(kept)), out)
+            used[label[a:b]] = True
+        code = np.cumsum(used) - 1
+        return Counts(self.words.filter(pa.array(used)), [(par, code[label], weight) for par, label, weight in levels])
 
     def cut(self, keys: list[list[bytes]]) -> Iterator[tuple[int, Counts]]:
         """(number of bounds at or before, arcs) of the ranges between ``keys``."""
@@ -272,9 +269,12 @@ def dump(c: Counts) -> bytes:
         arrays = [lens, label[arcs], weight[arcs], to[arcs], *arrays]
         to = state
     arrays = [c.levels[0][1], c.levels[0][2], to, *arrays]
-    offsets = np.diff(np.frombuffer(c.words.buffers()[1], np.int64)[c.words.offset:c.words.offset + len(c.words) + 1])
-    text = b"".join(c.words.to_pylist())
-    packed = [_narrow(x) for x in [offsets, *arrays]]
+    if len(c.words):
+        ends = np.frombuffer(c.words.buffers()[1], np.int64)[c.words.offset:c.words.offset + len(c.words) + 1]
+        text = memoryview(c.words.buffers()[2])[int(ends[0]):int(ends[-1])].tobytes()
+    else:
+        ends, text = np.zeros(1, np.int64), b""
+    packed = [_narrow(x) for x in [np.diff(ends), *arrays]]
     head = struct.pack("<I", len(packed)) + b"".join(struct.pack("<cQ", x.dtype.char.encode(), len(x)) for x in packed)
     raw = head + b"".join(x.tobytes() for x in packed) + text
     return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
@@ -340,11 +340,21 @@ def _sequence(c: Counts, level: int, at: int) -> list[bytes]:
 SEGMENTS = "shard long, first array<binary>, automaton binary"
 
 
+def _release() -> None:
+    """Hand freed memory back to the system: Python workers are reused, and
+    what one stage held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def _segment_batch(shard: int, c: Counts) -> Iterator[pa.RecordBatch]:
     for first, piece in c.segments():
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([first], pa.list_(pa.binary())), pa.array([dump(piece)], pa.binary())],
             ["shard", "first", "automaton"])
+    _release()
 
 
 def _slices(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -430,9 +440,12 @@ def _merged(fan: int, last: bool):
         else:
             found = table["bounds"][0].as_py() or []
             done = list(_cut_to(c, sorted(((b["child"], b["key"]) for b in found), key=lambda x: x[1]), own * fan))
-        return pa.table({"shard": pa.array([shard] * len(done), pa.int64()),
-                         "range": pa.array([r for r, _ in done], pa.int64()),
-                         "automaton": pa.array([dump(x) for _, x in done], pa.binary())})
+        out = pa.table({"shard": pa.array([shard] * len(done), pa.int64()),
+                        "range": pa.array([r for r, _ in done], pa.int64()),
+                        "automaton": pa.array([dump(x) for _, x in done], pa.binary())})
+        del c, done
+        _release()
+        return out
     return merge
 
 
@@ -448,6 +461,7 @@ def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(done), pa.int64()), pa.array([r for r, _ in done], pa.int64()),
                      pa.array([dump(c) for _, c in done], pa.binary())], ["shard", "range", "automaton"])
+            _release()
 
     rows = segments.select("shard", "automaton").mapInArrow(split, AUTOMATA)
     for t in range(1, rounds + 1):
