@@ -11,8 +11,8 @@ continuations are one state (``dump``).
 2.  Union by prefix range.  The first n-grams of all segments give the bounds
     of prefix ranges.  Segments are cut at a few bounds; then, round by round,
     the transducers of ``FAN`` shards of a range are united, weights summed,
-    and cut at the range's finer bounds.  So no task holds more than about one
-    shard's n-grams, whatever the input: shards grow fewer as ranges grow
+    and cut at the range's finer bounds.  So no task holds more than about half
+    a shard's n-grams, whatever the input: shards grow fewer as ranges grow
     narrower.  A frequent first word is cut at its second and third words.
 3.  Phrases of 2 to 3 words with enough occurrences are candidates.  The parts
     that their cuts ask for form a request automaton, which goes the same way
@@ -49,6 +49,8 @@ MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 #: Text bytes of a shard, arcs a level of a segment, and transducers united at once.
 SHARD_BYTES, SEGMENT, FAN = 4 << 20, 1 << 16, 16
+#: Prefix ranges of the first round for each of the ``FAN`` united shards.
+NARROW = 2
 #: Bytes of each word that a bound of a range keeps.
 BOUND_BYTES = 32
 LEVELS = MAX_WORDS + 1
@@ -404,14 +406,14 @@ def shard_segments(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: i
 
 
 class Ranges:
-    """Bounds of ``FAN ** rounds`` prefix ranges, a table (``j``, ``key``): range
+    """Bounds of ``NARROW * fan ** rounds`` prefix ranges, a table (``j``, ``key``): range
     j starts at its key."""
 
     def __init__(self, segments: DataFrame, rounds: int, fan: int):
         self.rounds, self.fan = rounds, fan
         rows = segments.select(F.lit("").alias("g"), "first").withColumn("tie", F.monotonically_increasing_id())
         spots = placed(stored(rows, "bounds"), ["first", "tie"])
-        j = F.expr(f"cast(floor(place * {fan ** rounds}D / total) as bigint)")
+        j = F.expr(f"cast(floor(place * {NARROW * fan ** rounds}D / total) as bigint)")
         self.bounds = stored(spots.where("place > 0").withColumn("j", j).groupBy("j").agg(F.min("first").alias("key")), "bounds")
 
     def level(self, t: int) -> DataFrame:
@@ -454,7 +456,7 @@ def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
     fan, rounds = ranges.fan, ranges.rounds
     coarse = sorted(((r["child"], [bytes(x) for x in r["key"]]) for r in ranges.level(0).collect()), key=lambda x: x[1])
 
-    def split(batches):                              # ``fan`` bounds, whatever the input
+    def split(batches):                              # ``NARROW * fan`` bounds, whatever the input
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 done = list(_cut_to(load(blob), coarse, 0))
