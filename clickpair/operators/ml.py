@@ -1,28 +1,31 @@
 """Vectorizers, matrix transforms and model training (Spark ML).
 
 Relational forms (long ``(key, term, value)`` tables) are used wherever a
-result has to be inspected or joined; Spark ML estimators are used where a
-model is fitted.  Nothing here collects data to the driver except what a
-fitted Spark ML model itself holds (a vocabulary, coefficients, trees).
+result has to be inspected or joined, and for text models, whose vocabulary and
+weights stay distributed (``blocklinear``); Spark ML estimators are used on the
+fixed feature columns.  Nothing here collects data to the driver except what a
+fitted Spark ML model itself holds (coefficients of those columns, trees).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes)
 from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF, OneHotEncoder,  # noqa: F401
                                 PolynomialExpansion, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickpair.functions.text import tokenize, word_tokens
+from clickpair.operators import blocklinear
 from clickpair.operators.folds import seeded_hash, stratified_kfold
+from clickpair.operators.joins import heavy_join
 from clickpair.operators.prep import row_index
 from clickpair.operators.sequence import prefix_sums
+from clickpair.session import written
 
 # Fixed values of the reference's models and vectorizers.
 NGRAM_MIN_DF = 50            # word 1-2-gram counts
@@ -255,76 +258,75 @@ def naive_bayes(features: str = "features", label: str = "label") -> NaiveBayes:
     return NaiveBayes(featuresCol=features, labelCol=label, modelType="multinomial")
 
 
-def text_linear_pipeline(terms: str = "terms", label: str = "label", min_count: int = NGRAM_MIN_DF,
-                         epochs: int = TEXT_EPOCHS) -> Pipeline:
-    """n-gram counts (min count) + logistic regression trained for ``epochs`` passes."""
-    return Pipeline(stages=[count_vectorizer(terms, "features", min_count),
-                            LogisticRegression(featuresCol="features", labelCol=label, maxIter=epochs)])
-
-
-def intercept_only(train: DataFrame, score: DataFrame, label: str = "label",
-                   out: str = "prediction") -> DataFrame:
-    """The model a linear classifier reduces to without features: the training
-    positive rate for every row (one-row aggregate, broadcast)."""
-    prior = train.agg(F.avg(F.col(label).cast("double"))).scalar()
-    return score.withColumn(out, prior)
+def naive_bayes_scores(train: DataFrame, rows: DataFrame, terms: str = "terms", label: str = "label",
+                       smoothing: float = 1.0, out: str = "prediction") -> DataFrame:
+    """Multinomial naive Bayes without a vocabulary on the driver: the counts of
+    a term under both labels are a table, joined with the terms of ``rows``.
+    Only terms of ``train`` count; class sums are scalar subqueries.  ``rows``
+    need a unique ``row`` column."""
+    y = F.col(label)
+    counts = train.where(y.isNotNull()).select(label, F.explode(terms).alias("term")).groupBy("term").agg(
+        F.sum((y == 1).cast("double")).alias("c1"), F.sum((y == 0).cast("double")).alias("c0"), F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "term-labels")
+    sums = counts.agg(F.struct(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), F.count(F.lit(1)).alias("v"))).scalar()
+    prior = train.agg(F.struct(F.sum((y == 1).cast("double")).alias("c1"), F.sum((y == 0).cast("double")).alias("c0"))).scalar()
+    odds = lambda a, b: F.log((a + smoothing) / (b + smoothing))
+    table = counts.select("term", "n", odds(F.col("c1"), F.col("c0")).alias("w"))
+    ex = rows.select("row", F.explode(terms).alias("term"))
+    each = heavy_join(ex, table, "term", "n").groupBy("row").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
+    # a term's share is (count + s) / (class sum + s * vocabulary)
+    share = F.log((F.col("_s.c0") + smoothing * F.col("_s.v")) / (F.col("_s.c1") + smoothing * F.col("_s.v")))
+    z = odds(F.col("_p.c1"), F.col("_p.c0")) + F.coalesce(F.col("w") + F.col("k") * share, F.lit(0.0))
+    return rows.join(each, "row", "left").withColumn("_s", sums).withColumn("_p", prior).withColumn(
+        out, 1 / (1 + F.exp(-z))).drop("w", "k", "_s", "_p")
+
+
+def numbered_rows(df: DataFrame, order: str = "row") -> DataFrame:
+    """``df`` stored with ``order``, the 0-based position of a row in it: the
+    rows of a partition are counted, and offsets come from one count a
+    partition."""
+    ids = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)            # one row a partition
+    first = ids.groupBy(part.alias("_part")).count().select(
+        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ids.withColumn("_part", part).join(first, "_part").withColumn(order, F.col("_first") + within).drop(
+        "_id", "_part", "_first")
 
 
 def fit_text_linear(train: DataFrame, score: DataFrame, terms: str = "terms", label: str = "label",
-                    min_count: int = NGRAM_MIN_DF, epochs: int = TEXT_EPOCHS) -> DataFrame:
-    """Fit #130 on ``train`` and add ``prediction`` to ``score``; an empty
-    vocabulary (no term reaches ``min_count``) gives the intercept-only model."""
-    cv = count_vectorizer(terms, "features", min_count).fit(train)
-    if len(cv.vocabulary) == 0:
-        return intercept_only(train, score, label)
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=epochs)
-    m = lr.fit(cv.transform(train))
-    return positive_probability(m.transform(cv.transform(score)))
+                    min_count: int = NGRAM_MIN_DF, epochs: int = TEXT_EPOCHS, out: str = "prediction") -> DataFrame:
+    """Fit #130 on ``train`` and add ``prediction`` to ``score``: a linear
+    classifier on n-grams of ``min_count`` rows, ``epochs`` rounds, whose
+    vocabulary and weights stay distributed.  If no n-gram reaches ``min_count``
+    the intercept is what is fitted.  ``score`` needs a unique ``row`` column."""
+    one = numbered_rows(train.select(label, terms)).select(
+        F.lit(0).cast("long").alias("chunk"), "row", F.col(label).alias("label"), F.lit(0).alias("fold"), F.col(terms).alias("terms"))
+    model = blocklinear.fit(one, "terms", folds=1, min_df=min_count, rounds=epochs)
+    return score.join(model.score(score, terms).select("row", F.col("prediction").alias(out)), "row", "left")
 
 
 def cv_ensemble(df: DataFrame, score_df: DataFrame, key: str = "pair_id", terms: str = "terms",
                 label: str = "label", chunk_size: int = 5_000_000, k: int = 5, C: float = 0.2,
-                min_df: int = NGRAM_MIN_DF):
-    """Per chunk (by id order): fit the n-gram vocabulary on the chunk; per
-    stratified fold fit L1 LR on the other folds, record the validation AUC,
-    and score ``score_df``; the prediction is the mean over chunks × folds.
-
-    The loop runs over a bounded number of (chunk, fold) fits on the driver;
-    every fit and transform is distributed.  Returns (predictions, fold AUCs).
+                min_df: int = NGRAM_MIN_DF, rounds: int = blocklinear.ROUNDS):
+    """Chunks of ``chunk_size`` rows in file order, each with its own n-gram
+    vocabulary; per stratified fold an L1 model of the other folds; the
+    prediction of a row of ``score_df`` is the mean over chunks and folds.
+
+    All chunks and folds are trained together (``blocklinear.fit``), so the
+    plan does not grow with them.  Predictions are written per (chunk, fold)
+    and averaged from there.  Returns (predictions: ``key``, ``prediction``,
+    ``n_models``; the held-out AUC per chunk and fold).  Rows are told apart by
+    position, so repeated rows and ids are scored once each.
     """
-    from clickpair.operators.metrics import auc
-    from clickpair.session import cut_lineage
-    ix = row_index(df, key, "_ix").withColumn("_chunk", F.floor(F.col("_ix") / chunk_size))
-    ix = cut_lineage(ix)
-    n_chunks = ix.agg(F.max("_chunk")).first()[0]
-    n_chunks = 0 if n_chunks is None else int(n_chunks) + 1
-    preds, aucs = [], []
-    for ch in range(n_chunks):
-        chunk = stratified_kfold(ix.where(F.col("_chunk") == ch), k, key, label)
-        chunk = cut_lineage(chunk)
-        cv = count_vectorizer(terms, "features", min_df).fit(chunk)
-        empty = len(cv.vocabulary) == 0
-        feat = cv.transform(chunk)
-        test = cv.transform(score_df)
-        for f in range(k):
-            tr = feat.where(F.col("fold") != f)
-            n_tr = tr.count()
-            if n_tr == 0:
-                continue
-            va_rows = feat.where(F.col("fold") == f)
-            if empty:     # no term reaches min_df: intercept-only model
-                va = intercept_only(tr, va_rows, label)
-                te = intercept_only(tr, test, label)
-            else:
-                m = lr_l1(n_tr, C).fit(tr)
-                va = positive_probability(m.transform(va_rows))
-                te = positive_probability(m.transform(test))
-            a = auc(va, "prediction", label).first()["auc"]
-            aucs.append((ch, f, a))
-            preds.append(te.select(key, "prediction"))
-    stacked = preds[0]
-    for p in preds[1:]:
-        stacked = stacked.unionByName(p)
-    out = stacked.groupBy(key).agg(F.avg("prediction").alias("prediction"),
-                                   F.count(F.lit(1)).alias("n_models"))
-    return out, aucs
+    from clickpair.operators.metrics import grouped_auc
+    rows = numbered_rows(df.select(F.col(label).alias("label"), F.col(terms).alias("terms")).where("label is not null"))
+    rows = rows.withColumn("chunk", F.floor(F.col("row") / chunk_size))
+    rows = stratified_kfold(rows, k, "row", "label", within=["chunk"])
+    model = blocklinear.fit(rows, "terms", folds=k, min_df=min_df, l1=1.0 / C, rounds=rounds)
+    scored = numbered_rows(score_df.select(key, F.col(terms).alias("terms")))
+    each = written(model.score(scored), "predictions", ["chunk", "fold"])
+    mean = each.groupBy("row").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n_models"))
+    return (scored.join(mean, "row").select(key, "prediction", "n_models"),
+            grouped_auc(model.held_out(), ["chunk", "fold"], "prediction", "label"))

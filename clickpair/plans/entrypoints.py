@@ -91,7 +91,7 @@ def linear_ensemble(spark: SparkSession, train_path: str, test_path: str, out_pa
                     chunk_size: int = 5_000_000, k: int = 5, C: float = 0.2,
                     fmt: str = "csv") -> dict:
     """Entry point B.  Writes ``query_id, query_title_id, prediction`` (no
-    header) and returns the per-(chunk, fold) validation AUCs."""
+    header) and returns the table of validation AUCs per chunk and fold."""
     def terms(df):
         return df.withColumn("terms", ML.ngram_terms(F.concat_ws(" ", "query", "title")))
     train = terms(_with_ids(scan_pairs(spark, train_path, True, fmt)))

@@ -252,12 +252,16 @@ def q_feature_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, gbt double, lr double")
 
 
-@register("train_text_linear")
-def q_train_text_linear(spark, sf_dir):
-    """#130 linear text classifier on word 1-2-grams (min count 50, 25 passes)."""
+def _split_terms(spark, sf_dir):
     t = stratified_kfold(_text_terms(spark, sf_dir), 5)
     t = t.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
-    t = cut_lineage(t)
+    return ML.numbered_rows(t)
+
+
+@register("train_text_linear")
+def q_train_text_linear(spark, sf_dir):
+    """#130 linear text classifier on word 1-2-grams (min count 50, 25 rounds)."""
+    t = _split_terms(spark, sf_dir)
     scored = ML.fit_text_linear(t.where(F.col("split") == "train"), t, "terms", "label")
     return scored.select("pair_id", "split", "label", "prediction")
 
@@ -272,21 +276,43 @@ def q_train_mlp(spark, sf_dir):
     return ML.positive_probability(m.transform(s)).select("pair_id", "split", "label", "prediction")
 
 
-@register("train_nb")
+_NB_SQL = with_fixtures("dialogue_pairs", """
+select pair_id, split, label,
+  1 / (1 + exp(-(ln((p.c1 + 1) / (p.c0 + 1)) + coalesce(w + k * ln((s.c0 + v) / (s.c1 + v)), 0)))) prediction
+from split left join each using (pair_id), s, p""", extra=_TERMS_SQL + f""",
+split as (select terms.*, case when (row_number() over (partition by label order by {_HASH_SQL}) - 1) % 5 = 0
+            then 'test' else 'train' end split from terms),
+ex as (select pair_id, split, label, unnest(terms) term from split),
+c as (select term, count(*) filter (label = 1) c1, count(*) filter (label = 0) c0 from ex where split = 'train' group by term),
+s as (select sum(c1)::double c1, sum(c0)::double c0, count(*)::double v from c),
+p as (select count(*) filter (label = 1) c1, count(*) filter (label = 0) c0 from split where split = 'train'),
+each as (select pair_id, sum(ln((c1 + 1) / (c0 + 1))) w, count(*) k from ex join c using (term) group by pair_id)""")
+
+
+@register("train_nb", _NB_SQL)
 def q_train_nb(spark, sf_dir):
     """#132 multinomial naive Bayes on n-gram counts."""
-    t = stratified_kfold(_text_terms(spark, sf_dir), 5)
-    t = t.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
-    cv = ML.count_vectorizer("terms", "features", 1).fit(t.where(F.col("split") == "train"))
-    v = cv.transform(t)
-    m = ML.naive_bayes().fit(v.where(F.col("split") == "train"))
-    return ML.positive_probability(m.transform(v)).select("pair_id", "split", "label", "prediction")
+    t = _split_terms(spark, sf_dir)
+    return ML.naive_bayes_scores(t.where(F.col("split") == "train"), t).select("pair_id", "split", "label", "prediction")
 
 
 @register("cv_ensemble")
 def q_cv_ensemble(spark, sf_dir):
     """#133 chunked vectorizer + 5-fold L1-LR ensemble, mean prediction per row."""
     t = _text_terms(spark, sf_dir)
-    preds, _aucs = ML.cv_ensemble(t, t, "pair_id", "terms", "label", chunk_size=5_000_000, k=5,
-                                  C=0.2, min_df=ML.NGRAM_MIN_DF)
-    return preds
+    return ML.cv_ensemble(t, t, "pair_id", "terms", "label", chunk_size=5_000_000, k=5, C=0.2,
+                          min_df=ML.NGRAM_MIN_DF)[0]
+
+
+@register("cv_ensemble_check", with_fixtures("dialogue_pairs", """
+select count(*) n_rows, 5 * cast(ceil(count(*) / 100.0) as bigint) least_models,
+       5 * cast(ceil(count(*) / 100.0) as bigint) most_models, 5 * cast(ceil(count(*) / 100.0) as bigint) n_aucs
+from dialogue_pairs"""))
+def q_cv_ensemble_check(spark, sf_dir):
+    """#133 in chunks of 100 rows: every row is scored by every chunk and fold,
+    and every chunk and fold has a held-out AUC."""
+    t = _text_terms(spark, sf_dir)
+    preds, aucs = ML.cv_ensemble(t, t, chunk_size=100, k=5, C=0.2, min_df=20, rounds=6)
+    return preds.agg(F.count(F.lit(1)).alias("n_rows"), F.min("n_models").alias("least_models"),
+                     F.max("n_models").alias("most_models")).withColumn(
+        "n_aucs", aucs.agg(F.count(F.lit(1))).scalar())

@@ -115,3 +115,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def written(df, name: str, partition_by=()):
+    """``df`` written to the shared folder and read back: lineage ends there,
+    and a lost executor rereads files."""
+    import os
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    w = df.write
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
