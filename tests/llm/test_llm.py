@@ -97,32 +97,10 @@ def test_exact(spark, edge, empty):
     assert exact.exact_dedup(empty).count() == 0
 
 
-def brute_lines(rows):
-    solid = {d: [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")] for d, t in rows if d is not None}
-    holders = defaultdict(list)
-    for d in sorted(solid):
-        for x in dict.fromkeys(solid[d]):
-            holders[x].append(d)
-    out = {}
-    for d, own in solid.items():
-        common, least = Counter(), {}
-        for x in dict.fromkeys(own):
-            f, df = holders[x][0], len(holders[x])
-            if df > 1 and f < d:
-                common[f] += 1
-                least[f] = min(least.get(f, df), df)
-        gone = set()
-        for f, k in common.items():
-            if least[f] <= lines.RARE or k >= 2 or 2 * k >= len(own):
-                gone |= set(lines.aligned_blocks(solid[f], own, list(map(len, own)), lines.MIN_CHARS))
-        out[d] = [x for i, x in enumerate(own) if i not in gone]
-    return out
-
-
 def test_lines(spark, edge, empty):
     for docs in (edge, given(spark)):
         rows = docs.select("doc_id", "text").collect()
-        want = brute_lines([tuple(r) for r in rows])
+        want = brute_holders([tuple(r) for r in rows])
         got = lines.line_dedup(docs).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -433,7 +411,7 @@ def test_pipeline(spark):
             good = [d for d in before if labels.get(d) == 1]
             assert sum(d in after for d in good) >= 0.97 * len(good)
         if name == "lines":
-            want = brute_lines(list(before.items()))
+            want = brute_holders(list(before.items()))
             assert after.keys() == {d for d in before if want[d] or not before[d].strip()}
         if name == "jaccard":
             want = brute_components(list(before.items()))
