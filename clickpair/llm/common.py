@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more:
+    what was made from it must be stored itself."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def heavy_join(rows: DataFrame, table: DataFrame, key: str, weight: str,
                how: str = "inner", share: int = 1000) -> DataFrame:
     """Join ``rows`` with ``table`` (one row per ``key``) where some keys may

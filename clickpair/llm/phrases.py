@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import LOWER, UPPER, heavy_join, mix64, placed, ragged_index, stored, text_buffer
+from clickpair.llm.common import LOWER, UPPER, discard, heavy_join, mix64, placed, ragged_index, stored, text_buffer
 
 MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
@@ -452,8 +452,9 @@ def _merged(fan: int, last: bool):
 
 
 def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
-    """(range, automaton): the union of all shards, by final prefix range."""
-    fan, rounds = ranges.fan, ranges.rounds
+    """(range, automaton): the union of all shards, by final prefix range.
+    ``segments``, and each round's table once the next is stored, are deleted."""
+    fan, rounds, before = ranges.fan, ranges.rounds, segments
     coarse = sorted(((r["child"], [bytes(x) for x in r["key"]]) for r in ranges.level(0).collect()), key=lambda x: x[1])
 
     def split(batches):                              # ``NARROW * fan`` bounds, whatever the input
@@ -474,7 +475,9 @@ def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
                 F.collect_list(F.struct("child", "key")).alias("bounds"))
             rows = rows.join(finer, "range", "left")
 
-        rows = stored(rows.groupBy("shard", "range").applyInArrow(_merged(fan, last), AUTOMATA), "automata")
+        united = stored(rows.groupBy("shard", "range").applyInArrow(_merged(fan, last), AUTOMATA), "automata")
+        discard(before)
+        rows = before = united
     return rows.select("range", "automaton")
 
 
@@ -555,6 +558,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None = TOP,
     key = lambda lang, part: F.concat_ws(" ", lang, part)
     found = stored(part_counts(asked, automata, ranges).withColumn("key", key("lang", "part")).select("key", "f", "asked"),
                    "parts")
+    discard(automata)
     known = heavy_join(sides.withColumn("key", key("lang", F.concat_ws(" ", "p"))), found, "key", "asked")
     pairs = known.groupBy("lang", "phrase", "a", "k").agg(
         F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
