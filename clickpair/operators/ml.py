@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes)
+from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
+                                       NaiveBayes)
 from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF, OneHotEncoder,  # noqa: F401
                                 PolynomialExpansion, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickpair.functions.text import tokenize, word_tokens
-from clickpair.operators import blocklinear
+from clickpair.operators import blocklinear, boosting
+from clickpair.operators.boosting import best_round  # noqa: F401
 from clickpair.operators.folds import seeded_hash, stratified_kfold
 from clickpair.operators.joins import heavy_join
 from clickpair.operators.prep import row_index
@@ -33,7 +34,7 @@ HASHED_DIM = 200             # hashed 1-2-grams
 TOKEN_ID_SPACE = 1_000_000   # bag of integer token ids
 TFIDF_MAX_DF = 0.5           # word TF-IDF document-frequency cap
 LR_C = 0.3                   # L1 logistic regression inverse strength
-GBT_ROUNDS, GBT_RATE, GBT_DEPTH, GBT_SUBSAMPLE, GBT_FEATURES = 2000, 0.01, 6, 0.8, "0.8"
+GBT_ROUNDS, GBT_RATE, GBT_DEPTH, GBT_SUBSAMPLE, GBT_FEATURES = 2000, 0.01, 6, 0.8, 0.8
 GBT_PATIENCE = 300           # rounds without a lower validation loss
 TEXT_EPOCHS = 25             # supervised linear text classifier
 PCA_K = 50
@@ -195,45 +196,13 @@ def lr_l1(n_rows: int, C: float = LR_C, features: str = "features", label: str =
                               maxIter=max_iter)
 
 
-def gbt(features: str = "features", label: str = "label", validation: str | None = None,
-        max_iter: int = GBT_ROUNDS, seed: int = 2018) -> GBTClassifier:
-    kw = {"validationIndicatorCol": validation} if validation else {}
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, stepSize=GBT_RATE,
-                         maxDepth=GBT_DEPTH, subsamplingRate=GBT_SUBSAMPLE,
-                         featureSubsetStrategy=GBT_FEATURES, seed=seed, **kw)
-
-
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """(number of rounds with the lowest loss, whether ``patience`` ran out)."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def fit_boosted(train: DataFrame, valid: DataFrame, features: str = "features", label: str = "label",
                 max_iter: int = GBT_ROUNDS, patience: int = GBT_PATIENCE, seed: int = 2018):
     """Boosted trees cut at the best validation loss: training ends once
-    ``patience`` rounds pass without a lower one, or at ``max_iter``.
-
-    ``validationTol`` of Spark stops at the first small gain, so the loss of
-    every round is read from a model of enough rounds (doubled until patience
-    runs out; equal seeds give equal first trees) and the model is refitted
-    with the best number.  Without validation rows all rounds are kept.
-    """
-    if valid.isEmpty():
-        return gbt(features, label, None, max_iter, seed).fit(train)
-    rounds = min(max_iter, 2 * patience)
-    while True:
-        model = gbt(features, label, None, rounds, seed).fit(train)
-        best, stopped = best_round(model.evaluateEachIteration(valid), patience)
-        if stopped or rounds >= max_iter:
-            break
-        rounds = min(2 * rounds, max_iter)
-    return model if best == rounds else gbt(features, label, None, best, seed).fit(train)
+    ``patience`` rounds pass without a lower one, or at ``max_iter``.  Without
+    validation rows all rounds are kept."""
+    return boosting.fit(train, valid, features, label, max_iter, patience, GBT_RATE, GBT_DEPTH, GBT_SUBSAMPLE,
+                        GBT_FEATURES, seed)
 
 
 def positive_probability(pred: DataFrame, col: str = "probability", out: str = "prediction") -> DataFrame:

@@ -240,6 +240,23 @@ def q_train_gbt(spark, sf_dir):
     return ML.positive_probability(m.transform(a)).select("pair_id", "split", "label", "prediction")
 
 
+@register("gbt_check", with_fixtures("basket_pairs", """
+select 30 n_trees, count(*) n_rows, true learns, true uses_lengths from basket_pairs"""))
+def q_gbt_check(spark, sf_dir):
+    """#128 on a label that the features decide (longer query than title), 30
+    rounds: the loss falls to the last, the ranking is right, and the features
+    that decide carry the gain."""
+    names = TOKEN_SET_FEATURES
+    f = q_token_set_features(spark, sf_dir).withColumn("label", (F.col("query_len") > F.col("title_len")).cast("int"))
+    a = cut_lineage(ML.assemble(f.select("pair_id", "label", *names), names, "features"))
+    hold = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
+    m = ML.fit_boosted(a.where(~hold), a.where(hold), max_iter=30, patience=5)
+    heavy = float(m.featureImportances.toArray().max()) > 0.2
+    return auc(ML.positive_probability(m.transform(a)), "prediction", "label").select(
+        F.lit(m.getNumTrees).alias("n_trees"), (F.col("n_pos") + F.col("n_neg")).alias("n_rows"),
+        (F.col("auc") > 0.99).alias("learns"), F.lit(heavy).alias("uses_lengths"))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """#129 importance in the trees of #128 next to the L1-LR coefficient, per
