@@ -49,6 +49,8 @@ MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 #: Text bytes of a shard, arcs a level of a segment, and transducers united at once.
 SHARD_BYTES, SEGMENT, FAN = 4 << 20, 1 << 16, 16
+#: Rows whose texts are copied out of a batch at once.
+SLICE_ROWS = 256
 #: Prefix ranges of the first round for each of the ``FAN`` united shards.
 NARROW = 2
 #: Bytes of each word that a bound of a range keeps.
@@ -384,23 +386,35 @@ def shard_segments(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: i
                        F.col(text_col).cast("string").alias("text"))
     tasks = rows.rdd.getNumPartitions()
 
+    def shard_of(texts):
+        """The transducer of the texts held for each language."""
+        held = []
+        for lang, parts in texts.items():
+            buf = np.concatenate([b for b, _ in parts])
+            off = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in parts]))))
+            held.append(count_text(lang.encode(), buf, off))
+        texts.clear()
+        held = [c for c in held if c is not None]
+        return union(held) if held else None
+
     def run(batches):
-        held, size, shard = [], 0, TaskContext.get().partitionId()
+        texts, size, shard = {}, 0, TaskContext.get().partitionId()
         for batch in batches:
-            lang = batch.column(0)
-            for name in pc.unique(lang).to_pylist():
-                buf, off = text_buffer(batch.column(1).filter(pc.equal(lang, name)))
-                for b, o in _slices(buf, off, shard_bytes):
-                    c = count_text(name.encode(), b, o)
-                    size += len(b)
-                    if c is not None:
-                        held.append(c)
-                    if size >= shard_bytes:
-                        if held:
-                            yield from _segment_batch(shard, union(held))
-                        held, size, shard = [], 0, shard + tasks
-        if held:
-            yield from _segment_batch(shard, union(held))
+            for lo in range(0, len(batch), SLICE_ROWS):
+                rows = batch.slice(lo, SLICE_ROWS)
+                for lang in pc.unique(rows.column(0)).to_pylist():
+                    buf, off = text_buffer(rows.column(1).filter(pc.equal(rows.column(0), lang)))
+                    for b, o in _slices(buf, off, shard_bytes):
+                        texts.setdefault(lang, []).append((b.copy(), np.diff(o)))
+                        size += len(b)
+                        if size >= shard_bytes:
+                            whole = shard_of(texts)
+                            if whole is not None:
+                                yield from _segment_batch(shard, whole)
+                            size, shard = 0, shard + tasks
+        whole = shard_of(texts) if texts else None
+        if whole is not None:
+            yield from _segment_batch(shard, whole)
 
     return rows.mapInArrow(run, SEGMENTS)
 
