@@ -48,7 +48,7 @@ from clickpair.llm.common import LOWER, UPPER, discard, heavy_join, mix64, place
 MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 #: Text bytes of a shard, arcs a level of a segment, and transducers united at once.
-SHARD_BYTES, SEGMENT, FAN = 4 << 20, 1 << 16, 16
+SHARD_BYTES, SEGMENT, FAN = 2 << 20, 1 << 16, 24
 #: Rows whose texts are copied out of a batch at once.
 SLICE_ROWS = 256
 #: Prefix ranges of the first round for each of the ``FAN`` united shards.
@@ -346,8 +346,9 @@ SEGMENTS = "shard long, first array<binary>, automaton binary"
 
 def _release() -> None:
     """Hand freed memory back to the system: Python workers are reused, and
-    what one stage held would count against the next."""
-    pa.default_memory_pool().release_unused()
+    what one stage held would count against the next.  Arrow's own pools keep
+    freed pages, so a worker's Arrow memory comes from the system's."""
+    pa.set_memory_pool(pa.system_memory_pool())
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
     if trim is not None:
         trim(0)
@@ -398,6 +399,7 @@ def shard_segments(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: i
         return union(held) if held else None
 
     def run(batches):
+        _release()
         texts, size, shard = {}, 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, len(batch), SLICE_ROWS):
@@ -449,6 +451,7 @@ def _merged(fan: int, last: bool):
     """Unites the transducers of one range and ``fan`` shards, and cuts the
     union at the range's finer bounds unless it is the last."""
     def merge(key, table):
+        _release()
         c = union([load(b) for b in table["automaton"].to_pylist()])
         shard, own = key[0].as_py(), key[1].as_py()
         if last:
@@ -472,6 +475,7 @@ def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
     coarse = sorted(((r["child"], [bytes(x) for x in r["key"]]) for r in ranges.level(0).collect()), key=lambda x: x[1])
 
     def split(batches):                              # ``NARROW * fan`` bounds, whatever the input
+        _release()
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 done = list(_cut_to(load(blob), coarse, 0))
