@@ -48,7 +48,7 @@ from clickpair.llm.common import LOWER, UPPER, discard, heavy_join, mix64, place
 MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
 #: Text bytes of a shard, arcs a level of a segment, and transducers united at once.
-SHARD_BYTES, SEGMENT, FAN = 2 << 20, 1 << 16, 24
+SHARD_BYTES, SEGMENT, FAN = 4 << 20, 1 << 15, 16
 #: Rows whose texts are copied out of a batch at once.
 SLICE_ROWS = 256
 #: Prefix ranges of the first round for each of the ``FAN`` united shards.
@@ -126,13 +126,15 @@ class Counts:
             if any(a < b for a, b in zip(lo, hi)):
                 yield i, self.part(lo, hi)
 
-    def segments(self, size: int = SEGMENT) -> Iterator[tuple[list[bytes], Counts]]:
-        """(first sequence, arcs) with about ``size`` arcs a level or less."""
-        keys = sorted(k for d, (_, _, w) in enumerate(self.levels) for k in
-                      {tuple(self.path(d, i)) for i in range(size, len(w), size)})
-        keys = [list(k) for k in dict.fromkeys(keys)]
+    def segments(self, size: int = SEGMENT, salt: int = 0) -> Iterator[tuple[list[bytes] | None, Counts]]:
+        """(first sequence, arcs) with about ``size`` arcs a level or less; the
+        first segment has no first sequence.  Cuts start at a place that depends
+        on ``salt``: equal places in every shard would be the same few bounds."""
+        keys = {tuple(self.path(d, i)) for d, (_, _, w) in enumerate(self.levels)
+                for i in range(1 + (salt * 40503 + d * 9973) % size, len(w), size)}
+        keys = [list(k) for k in sorted(keys)]
         for i, piece in self.cut(keys):
-            yield (keys[i - 1] if i else piece.path(0, 0)), piece
+            yield (keys[i - 1] if i else None), piece
 
 
 def _word_code(words: pa.Array, word: bytes) -> tuple[int, bool]:
@@ -355,7 +357,7 @@ def _release() -> None:
 
 
 def _segment_batch(shard: int, c: Counts) -> Iterator[pa.RecordBatch]:
-    for first, piece in c.segments():
+    for first, piece in c.segments(salt=shard):
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([first], pa.list_(pa.binary())), pa.array([dump(piece)], pa.binary())],
             ["shard", "first", "automaton"])
@@ -423,14 +425,14 @@ def shard_segments(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: i
 
 class Ranges:
     """Bounds of ``NARROW * fan ** rounds`` prefix ranges, a table (``j``, ``key``): range
-    j starts at its key."""
+    j starts at its key, range 0 before all keys."""
 
     def __init__(self, segments: DataFrame, rounds: int, fan: int):
         self.rounds, self.fan = rounds, fan
-        rows = segments.select(F.lit("").alias("g"), "first").withColumn("tie", F.monotonically_increasing_id())
+        rows = segments.where("first is not null").select(F.lit("").alias("g"), "first").withColumn("tie", F.monotonically_increasing_id())
         spots = placed(stored(rows, "bounds"), ["first", "tie"])
         j = F.expr(f"cast(floor(place * {NARROW * fan ** rounds}D / total) as bigint)")
-        self.bounds = stored(spots.where("place > 0").withColumn("j", j).groupBy("j").agg(F.min("first").alias("key")), "bounds")
+        self.bounds = stored(spots.withColumn("j", j).groupBy("j").agg(F.min("first").alias("key")), "bounds")
 
     def level(self, t: int) -> DataFrame:
         """Ranges of round ``t``: ``child``, and the key it starts with."""
