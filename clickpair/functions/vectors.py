@@ -1,16 +1,16 @@
 """Distances between two ``ARRAY<DOUBLE>`` columns, all native expressions.
 
-Every entry of ``DISTANCES`` is ``f(x, y) -> Column`` built from
-``zip_with``/``aggregate``/``array_max``; formulas are kept exactly as the
-reference codes them (for example Sorensen is signed and Soergel uses
-``Σx − n·min(y)`` as denominator).
+The family is a table of sums and extremes over the paired elements and of
+closed forms over them: one ``aggregate`` pass gives all sums of a row.
+Formulas are kept exactly as the reference codes them (for example Sorensen is
+signed and Soergel uses ``Σx − n·min(y)`` as denominator).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,113 +63,85 @@ def cosine(x, y) -> Column:
     return F.when((nx != 0) & (ny != 0), dot(x, y) / (nx * ny)).otherwise(F.lit(0.0))
 
 
-def manhattan(x, y):
-    return _sum(x, y, lambda a, b: F.abs(a - b))
-
-
-def euclidean(x, y):
-    return F.sqrt(_sum(x, y, lambda a, b: (a - b) * (a - b)))
-
-
-def chebyshev(x, y):
-    return F.array_max(F.zip_with(x, y, lambda a, b: F.abs(a - b)))
-
-
-def _plus(x, y):
-    return _sum(x, y, lambda a, b: a + b)
-
-
-def sorensen(x, y):
-    return F.try_divide(_sum(x, y, lambda a, b: a - b), _plus(x, y))
-
-
-def gower(x, y):
-    return manhattan(x, y) / F.size(x)
-
-
-def soergel(x, y):
-    # Σ_i max_j (x_i − y_j) = Σx − n·min(y)
-    return F.try_divide(manhattan(x, y), _sum1(x, lambda e: e) - F.size(x) * F.array_min(y))
-
-
-def intersection(x, y):
-    return manhattan(x, y) / 2
-
-
-def wave_hedges(x, y):
-    return _sum(x, y, lambda a, b: F.abs(a - b) / F.greatest(a, b))
-
-
-def czekanowski(x, y):
-    return F.try_divide(manhattan(x, y), _plus(x, y))
-
-
-def motyka(x, y):
-    return F.try_divide(_sum(x, y, lambda a, b: F.greatest(a, b)), _plus(x, y))
-
-
-def kulczynski(x, y):
-    return F.try_divide(_sum(x, y, lambda a, b: F.least(a, b)), _plus(x, y))
-
-
-def ruzicka(x, y):
-    return F.try_divide(_sum(x, y, lambda a, b: F.least(a, b)),
-                        _sum(x, y, lambda a, b: F.greatest(a, b)))
-
-
-def kullback_leibler(x, y):
-    return _sum(x, y, lambda a, b: a * F.log(a / b))
-
-
-def jeffreys(x, y):
-    return _sum(x, y, lambda a, b: (a - b) * F.log(a / b))
-
-
-def k_divergence(x, y):
-    return _sum(x, y, lambda a, b: a * F.log(2 * a / (a + b)))
-
+# Sums over the paired elements (a, b) that the distances are made of.
+SUMS: dict[str, Callable[[Column, Column], Column]] = {
+    "xy": lambda a, b: a * b,
+    "xx": lambda a, b: a * a,
+    "yy": lambda a, b: b * b,
+    "x": lambda a, b: a,
+    "plus": lambda a, b: a + b,
+    "minus": lambda a, b: a - b,
+    "gap": lambda a, b: F.abs(a - b),
+    "square": lambda a, b: (a - b) * (a - b),
+    "larger": lambda a, b: F.greatest(a, b),
+    "smaller": lambda a, b: F.least(a, b),
+    "share": lambda a, b: F.abs(a - b) / F.greatest(a, b),
+    "kl": lambda a, b: a * F.log(a / b),
+    "both_kl": lambda a, b: (a - b) * F.log(a / b),
+    "x_mid": lambda a, b: a * F.log(2 * a / (a + b)),
+    "y_mid": lambda a, b: b * F.log(2 * b / (a + b)),
+    "entropy": lambda a, b: (a * F.log(a) + b * F.log(b)) - ((a + b) / 2) * F.log((a + b) / 2),
+}
+# Extremes over the paired elements: (value, which one is kept).
+EXTREMES = {
+    "widest": (lambda a, b: F.abs(a - b), F.greatest),
+    "least_y": (lambda a, b: b, F.least),
+}
 
-def topsoe(x, y):
-    return _sum(x, y, lambda a, b: a * F.log(2 * a / (a + b)) + b * F.log(2 * b / (a + b)))
 
+def _over_norms(s):
+    nx, ny = F.sqrt(s["xx"]), F.sqrt(s["yy"])
+    return F.when((nx != 0) & (ny != 0), s["xy"] / (nx * ny)).otherwise(F.lit(0.0))
+
+
+# name -> (sums it needs, f(sums, number of components)); the reference
+# computes the first three twice under two names (city block = manhattan
+# etc.), they are aliases here.
+DISTANCES: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "cosine_w2v": (("xy", "xx", "yy"), lambda s, n: _over_norms(s)),
+    "manhattan": (("gap",), lambda s, n: s["gap"]),
+    "euclidean": (("square",), lambda s, n: F.sqrt(s["square"])),
+    "chebyshev": (("widest",), lambda s, n: s["widest"]),
+    "sorensen": (("minus", "plus"), lambda s, n: F.try_divide(s["minus"], s["plus"])),
+    "gower": (("gap",), lambda s, n: s["gap"] / n),
+    # sum over i of max over j of (x_i - y_j) = sum of x - n * min(y)
+    "soergel": (("gap", "x", "least_y"), lambda s, n: F.try_divide(s["gap"], s["x"] - n * s["least_y"])),
+    "intersection": (("gap",), lambda s, n: s["gap"] / 2),
+    "wave_hedges": (("share",), lambda s, n: s["share"]),
+    "czekanowski": (("gap", "plus"), lambda s, n: F.try_divide(s["gap"], s["plus"])),
+    "motyka": (("larger", "plus"), lambda s, n: F.try_divide(s["larger"], s["plus"])),
+    "kulczynski": (("smaller", "plus"), lambda s, n: F.try_divide(s["smaller"], s["plus"])),
+    "ruzicka": (("smaller", "larger"), lambda s, n: F.try_divide(s["smaller"], s["larger"])),
+    "kullback_leibler": (("kl",), lambda s, n: s["kl"]),
+    "jeffreys": (("both_kl",), lambda s, n: s["both_kl"]),
+    "k_divergence": (("x_mid",), lambda s, n: s["x_mid"]),
+    "topsoe": (("x_mid", "y_mid"), lambda s, n: s["x_mid"] + s["y_mid"]),
+    "jensen_shannon": (("x_mid", "y_mid"), lambda s, n: (s["x_mid"] + s["y_mid"]) / 2),
+    "jensen_difference": (("entropy",), lambda s, n: s["entropy"]),
+}
+ALIASES = {"city_block": "manhattan"}
 
-def jensen_shannon(x, y):
-    return (_sum(x, y, lambda a, b: a * F.log(2 * a / (a + b)))
-            + _sum(x, y, lambda a, b: b * F.log(2 * b / (a + b)))) / 2
 
+def pair_sums(x, y, names) -> Column:
+    """Struct of the named sums and extremes, from one pass over the pair."""
+    init = F.struct(*[F.lit(None if k in EXTREMES else 0.0).cast("double").alias(k) for k in names])
 
-def jensen_difference(x, y):
-    return _sum(x, y, lambda a, b: (a * F.log(a) + b * F.log(b))
-                - ((a + b) / 2) * F.log((a + b) / 2))
+    def step(acc, e):
+        a, b = e["a"], e["b"]
+        return F.struct(*[(EXTREMES[k][1](acc[k], EXTREMES[k][0](a, b)) if k in EXTREMES
+                           else acc[k] + SUMS[k](a, b)).alias(k) for k in names])
 
+    pairs = F.zip_with(_c(x), _c(y), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(pairs, init, step)
 
-# name -> function; the reference computes the first three twice under two
-# names (city block = manhattan etc.), they are aliases here.
-DISTANCES: dict[str, Callable[[Column, Column], Column]] = {
-    "cosine_w2v": cosine,
-    "manhattan": manhattan,
-    "euclidean": euclidean,
-    "chebyshev": chebyshev,
-    "sorensen": sorensen,
-    "gower": gower,
-    "soergel": soergel,
-    "intersection": intersection,
-    "wave_hedges": wave_hedges,
-    "czekanowski": czekanowski,
-    "motyka": motyka,
-    "kulczynski": kulczynski,
-    "ruzicka": ruzicka,
-    "kullback_leibler": kullback_leibler,
-    "jeffreys": jeffreys,
-    "k_divergence": k_divergence,
-    "topsoe": topsoe,
-    "jensen_shannon": jensen_shannon,
-    "jensen_difference": jensen_difference,
-}
-ALIASES = {"city_block": "manhattan"}
 
+def with_distances(df: DataFrame, x: str, y: str, names=None, keep=()) -> DataFrame:
+    """Columns ``keep`` and one per distance (all of them by default).
 
-def distance_columns(x, y, names=None) -> list[Column]:
-    x, y = _c(x), _c(y)
-    names = names or list(DISTANCES)
-    return [DISTANCES[ALIASES.get(n, n)](x, y).alias(n) for n in names]
+    The sums that the distances share are computed once per row, in one pass
+    over the two vectors; NULL vectors give NULL (cosine: 0)."""
+    names = list(names or DISTANCES)
+    needs = sorted({k for n in names for k in DISTANCES[ALIASES.get(n, n)][0]})
+    s = F.col("_sums")
+    return df.select(*keep, F.size(x).alias("_size"), pair_sums(x, y, needs).alias("_sums")).select(
+        *keep, *[DISTANCES[ALIASES.get(n, n)][1](s, F.col("_size")).alias(n) for n in names])

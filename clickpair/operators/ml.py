@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from clickpair.functions.text import tokenize, word_tokens
 from clickpair.operators import blocklinear, boosting
 from clickpair.operators.boosting import best_round  # noqa: F401
-from clickpair.operators.folds import seeded_hash, stratified_kfold
+from clickpair.operators.folds import HASH_BITS, seeded_hash, stratified_kfold
 from clickpair.operators.joins import heavy_join
 from clickpair.operators.prep import row_index
 from clickpair.operators.sequence import prefix_sums
@@ -178,7 +178,7 @@ def augment_shuffle(df: DataFrame, cols: Sequence[str], key: str = "pair_id", la
                       F.explode(F.when(F.col(label) == 1, orders(pos)).otherwise(orders(neg))).alias("_o"))
           .select(label, "_row", F.col("_o.copy").alias("_copy"), F.col("_o.ci").alias("_ci"),
                   F.col("_o.h").alias("_h"), F.lit(1).cast("long").alias("_one")))
-    ranked = prefix_sums(ex, "_h", "_one", groups=[label, "_copy", "_ci"])
+    ranked = prefix_sums(ex, "_h", "_one", groups=[label, "_copy", "_ci"], hash_bits=HASH_BITS)
     copies = (ranked.groupBy(label, "_copy", F.col("_one_before").alias("_r"))
               .agg(*[F.max(F.when(F.col("_ci") == ci, F.col("_row")[c])).alias(c)
                      for ci, c in enumerate(cols)]))

@@ -48,8 +48,12 @@ def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
     return out.drop("_rng", "_next_o", "_succ", *["_in_" + d for d in carry.values()])
 
 
+#: Ranges that a uniform hash is cut into, as leading bits.
+HASH_RANGE_BITS = 10
+
+
 def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | None = None,
-                suffix: str = "_before") -> DataFrame:
+                suffix: str = "_before", hash_bits: int | None = None) -> DataFrame:
     """Exclusive running sums of ``values`` in ``order`` inside ``groups``.
 
     A window ordered over the whole table (or over one hot group) runs in a
@@ -59,13 +63,17 @@ def prefix_sums(df: DataFrame, order: str, values, groups=(), n_ranges: int | No
     range) computes local running sums, the per-(group, range) totals give
     each range its offset, and a join on (group, range) adds it back.  The
     range id is a pure function of the value (fixed splits), so every branch of the plan
-    agrees on it.  ``order`` values should be distinct inside a group
-    (aggregate ties first).
+    agrees on it.  Where ``order`` is a uniform hash of ``hash_bits`` bits, its
+    leading bits are the range: no job runs when the plan is built, and the
+    ranges do not depend on the session.  ``order`` values should be distinct
+    inside a group (aggregate ties first).
     """
     values = [values] if isinstance(values, str) else list(values)
     groups = list(groups)
     n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n > 1:
+    if hash_bits:
+        ranged = df.withColumn("_rid", F.shiftright(order, hash_bits - HASH_RANGE_BITS).cast("int"))
+    elif n > 1:
         # n + 1 split points from approximate quantiles (one eager pass over
         # the ordering column); ranges assigned by binary search on the JVM
         qd = QuantileDiscretizer(numBuckets=n, inputCol=order, outputCol="_rid_d",

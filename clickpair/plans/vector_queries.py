@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickpair.functions.vectors import DISTANCES, distance_columns, minmax_shift
+from clickpair.functions.vectors import DISTANCES, minmax_shift, with_distances
 from clickpair.operators import vectorspace as vs
 from clickpair.plans.catalog import register
 from clickpair.plans.oracle_sql import with_fixtures
@@ -209,4 +209,4 @@ def q_vector_distances(spark, sf_dir):
     a constant vector gives NULL distances (cosine 0)."""
     v = vector_pairs(spark, sf_dir).select("pair_id", "label", minmax_shift("x_raw").alias("x"),
                                            minmax_shift("y_raw").alias("y"))
-    return v.select("pair_id", "label", *distance_columns("x", "y"))
+    return with_distances(v, "x", "y", keep=["pair_id", "label"])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickpair.functions.tokens import token_set_features
-from clickpair.functions.vectors import distance_columns, minmax_shift
+from clickpair.functions.vectors import minmax_shift, with_distances
 from clickpair.operators import metrics as M
 from clickpair.operators import rates
 from clickpair.operators import vectorspace as vs
@@ -131,7 +131,7 @@ def test_constant_vector_is_null(spark):
 
 def test_distances_identity(spark):
     df = spark.createDataFrame([([1.0, 1.5, 2.0], [1.0, 1.5, 2.0])], "x array<double>, y array<double>")
-    r = df.select(*distance_columns("x", "y")).first().asDict()
+    r = with_distances(df, "x", "y").first().asDict()
     assert r["cosine_w2v"] == pytest.approx(1.0)
     for k in ("manhattan", "euclidean", "chebyshev", "kullback_leibler", "jensen_shannon"):
         assert r[k] == pytest.approx(0.0, abs=1e-12), k

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from clickpair.functions.text import tokenize
-from clickpair.functions.vectors import distance_columns, minmax_shift
+from clickpair.functions.vectors import minmax_shift, with_distances
 from clickpair.operators import embed as EM
 from clickpair.operators import ml as ML
 from clickpair.operators.metrics import auc
@@ -54,7 +54,7 @@ def test_constant_vectors_give_null_distances(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 5.0]), ([3.0, 3.0], [1.0, 2.0])],
                                "x array<double>, y array<double>")
     v = df.select(minmax_shift("x").alias("x"), minmax_shift("y").alias("y"))
-    rows = v.select(*distance_columns("x", "y")).collect()
+    rows = with_distances(v, "x", "y").collect()
     assert rows[0].manhattan == 0.0
     # the cosine is 0 where a norm is missing or zero
     assert {k: x for k, x in rows[1].asDict().items() if x is not None} == {"cosine_w2v": 0.0}
