@@ -132,18 +132,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Field of the span hashes, and two bases drawn from it.
+_PRIME = np.uint64(2**31 - 1)
+_FIELD_BASES = tuple(int(b) for b in _RNG.integers(2**20, 2**31 - 2, 2))
+_FIELD_BYTE = _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_FIELD_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2^31 - 1, for values below 2^62."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x == _PRIME, np.uint64(0), x)
+
+
+def _field_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per base, its powers 0 .. n and those of its inverse (or longer)."""
+    if not _FIELD_POWERS or len(_FIELD_POWERS[0][0]) < n + 1:
+        made = []
+        for base in _FIELD_BASES:
+            rows = []
+            for factor in (base, pow(base, -1, int(_PRIME))):
+                p = np.ones(1, np.uint64)
+                while len(p) < n + 1:
+                    p = np.concatenate((p, _reduced(p * np.uint64(pow(factor, len(p), int(_PRIME))))))
+                rows.append(p)
+            made.append(tuple(rows))
+        _FIELD_POWERS[:] = made
+    return _FIELD_POWERS
+
+
 def hash_prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which any span's hash follows in constant time."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers(len(buf))[0][:len(buf)], out=out[1:])
+    """Prefix sums, one row per base, from which any span's hash follows in
+    constant time.  The terms lie in the field, so their plain sums fit 64 bits."""
+    out = np.zeros((len(_FIELD_BASES), len(buf) + 1), np.uint64)
+    byte = _FIELD_BYTE[buf]
+    for k, (power, _) in enumerate(_field_powers(len(buf))):
+        np.cumsum(_reduced(byte * power[:len(buf)]), out=out[k, 1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes [start, end): equal bytes have equal hashes
-    wherever they stand."""
-    inv = _powers(len(prefix) - 1)[1]
-    return mix64((prefix[end] - prefix[start]) * inv[start])
+    wherever they stand.  Two polynomials over a prime field: unlike modulo
+    2^64, no text has a twin that collides under every base (such as the
+    Thue-Morse words and their complements)."""
+    low, high = (_reduced(_reduced(prefix[k, end] - prefix[k, start]) * inverse[start])
+                 for k, (_, inverse) in enumerate(_field_powers(prefix.shape[1] - 1)))
+    return mix64((high << np.uint64(31)) | low)
 
 
 _SPACE = np.zeros(256, bool)
