@@ -374,18 +374,21 @@ def bucket_pairs(postings: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids whose whole sets link.  ``pairs`` is
-    stored; only texts in some pair are read out and shuffled."""
+    stored; only texts in some pair are read out and shuffled.  Where an id
+    stands on several texts, each of its sets counts: a pair may come more than
+    once, and links if any of the texts do."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("uses"))
     ends = stored(ends, "pair-ends")
 
     def sets(batches):
-        for batch, i, own, _ in set_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1),
-                                              pa.array([own.tobytes()], pa.binary())], ["doc_id", "uses", "tokens"])
+        for batch, i, own, node in set_batches(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, 1), pa.array([node], pa.int64()), batch.column(2).slice(i, 1),
+                 pa.array([own.tobytes()], pa.binary())], ["doc_id", "node", "uses", "tokens"])
 
     kept = rows.join(sized(ends), "doc_id").select("doc_id", "text", "uses").mapInArrow(
-        sets, "doc_id long, uses long, tokens binary").dropDuplicates(["doc_id"])
+        sets, "doc_id long, node long, uses long, tokens binary").dropDuplicates(["doc_id", "node"])
     kept = stored(kept, "pair-sets")
     left = kept.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"), "uses")
     right = kept.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))

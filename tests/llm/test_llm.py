@@ -421,3 +421,29 @@ def test_pipeline(spark):
             assert after.keys() == {d for d in before if want[d][0] == 0 or want[d][1] < want[d][0]}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def twins(n):
+    """The Thue-Morse word of n letters and its complement, which every
+    polynomial hash modulo 2^64 confuses from 1,024 letters on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_twin_words_keep_their_ids_and_sets(spark):
+    from tokenizers import Tokenizer
+    rows = list(enumerate([w for n in (512, 1024, 2048) for w in twins(n)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    for r in bpe.bpe_roundtrip(docs, with_ids=True, with_text=True).collect():
+        text = rows[r.doc_id][1]
+        assert list(r.ids) == library.encode(text, add_special_tokens=False).ids and r.decoded == text
+    assert all(r.component_id == r.doc_id for r in jaccard.jaccard_components(docs).collect())
+
+
+def test_link_of_an_id_on_two_texts_is_kept(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*words, "more"]), " ".join(f"x{i}" for i in range(40))
+    for seven in ([near, other], [other, near]):
+        docs = spark.createDataFrame([(1, " ".join(words)), *[(7, t) for t in seven]], "doc_id long, text string")
+        assert {r.component_id for r in jaccard.jaccard_components(docs).collect()} == {1}
