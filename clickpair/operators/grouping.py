@@ -42,9 +42,12 @@ def token_counts(df: DataFrame, text: str, keep=("pair_id",)) -> DataFrame:
     """(keep..., token, n) per distinct token of ``split(text, ' ')``.
 
     Counted inside the row (no shuffle): all tokens of a text live in one
-    row already; sorting and run lengths make it O(n log n) per text.
+    row already; sorting and run lengths make it O(n log n) per text.  The
+    outer explode keeps Spark from filtering on the size of the runs first,
+    which would work them out once more for every token; rows without text go
+    after it.
     """
     from clickpair.operators.vectorspace import add_run_counts
     staged = add_run_counts(df.select(*keep, tokenize(text).alias("_toks")), "_toks", "_runs")
-    return (staged.select(*keep, F.explode("_runs").alias("_tc"))
+    return (staged.select(*keep, F.explode_outer("_runs").alias("_tc")).where("_tc.token is not null")
             .select(*keep, F.col("_tc.token").alias("token"), F.col("_tc.n").alias("n")))

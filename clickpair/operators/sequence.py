@@ -2,12 +2,12 @@
 
 ``lead(x) over (partition by g order by o)`` puts every row of a group into a
 single task.  When one group holds a large share of all rows that task is the
-whole job.  ``next_in_group`` splits each group into ranges of the (integral)
+whole job.  ``next_in_group`` splits each large group into ranges of the (integral)
 ordering column, runs the window inside each range, and stitches the range
 boundaries through a per-range summary that has one row per (group, range).
-The per-task row count is then bounded by ``bucket_width`` instead of by the
-group size, and the boundary window works on at most ``span / bucket_width``
-rows per group.
+Groups of at most ``bucket_width`` rows stay whole, in the same window, so the
+per-task row count is bounded by ``bucket_width`` instead of by the
+group size, and small groups pay for nothing but one shuffle.
 """
 
 from __future__ import annotations
@@ -17,16 +17,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hot_groups(sizes: DataFrame, groups: list[str], above: int) -> DataFrame:
+    """(group columns renamed _g0.., _hot) of groups with more than ``above`` rows;
+    ``sizes`` holds a row of every group for each row of it, or more.  At most
+    one in ``above`` rows is such a group, so the table is broadcast."""
+    return F.broadcast(sizes.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)])
+                       .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > above)
+                       .select(*[f"_g{i}" for i in range(len(groups))], F.lit(True).alias("_hot")))
+
+
+def mark_hot(df: DataFrame, groups: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_hot``: true in the groups of ``hot``, else NULL (null-safe)."""
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(hot, same, "left").drop(*[f"_g{i}" for i in range(len(groups))])
+
+
 def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
-                  bucket_width: int = 1 << 16) -> DataFrame:
+                  bucket_width: int = 1 << 16, sizes: DataFrame | None = None) -> DataFrame:
     """Add, for every row, columns of the next row (by ``order``) of its group.
 
     ``carry`` maps a source column to the name of the new column.  ``order``
     must be integral and unique inside a group.  The last row of a group gets
-    NULLs, exactly like ``lead``.
+    NULLs, exactly like ``lead``.  ``sizes`` is a cheaper table with the group
+    columns and at least the rows of ``df`` (default: ``df``), from which the
+    groups that need ranges are counted.
     """
     groups = [group] if isinstance(group, str) else list(group)
-    base = df.withColumn("_rng", F.floor(F.col(order) / F.lit(bucket_width)).cast("long"))
+    hot = hot_groups(df if sizes is None else sizes, groups, bucket_width)
+    base = mark_hot(df, groups, hot).withColumn(
+        "_rng", F.when(F.col("_hot"), F.floor(F.col(order) / F.lit(bucket_width)).cast("long")))
 
     # successor inside the same range
     w = Window.partitionBy(*groups, "_rng").orderBy(order)
@@ -34,18 +55,22 @@ def next_in_group(df: DataFrame, group, order: str, carry: dict[str, str],
     for src, dst in carry.items():
         inner = inner.withColumn("_in_" + dst, F.lead(src).over(w))
 
-    # first row of every range, then the first row of the following range
-    firsts = (base.groupBy(*groups, "_rng")
+    # large groups: first row of every range, then the first row of the following range
+    firsts = (base.where("_hot").groupBy(*groups, "_rng")
               .agg(F.min(F.struct(order, *[c for c in carry if c != order])).alias("_first")))
     wr = Window.partitionBy(*groups).orderBy("_rng")
-    succ = firsts.select(*groups, "_rng", F.lead("_first").over(wr).alias("_succ"))
+    succ = firsts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_rng").alias("_srng"),
+                         F.lead("_first").over(wr).alias("_succ"))
+    same = F.col("_rng") == F.col("_srng")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
 
-    out = inner.join(succ, [*groups, "_rng"], "left")
+    out = inner.join(succ, same, "left").drop("_srng", *[f"_g{i}" for i in range(len(groups))])
     has_inner = F.col("_next_o").isNotNull()
     for src, dst in carry.items():
         out = out.withColumn(dst, F.when(has_inner, F.col("_in_" + dst))
                              .otherwise(F.col("_succ")[src]))
-    return out.drop("_rng", "_next_o", "_succ", *["_in_" + d for d in carry.values()])
+    return out.drop("_rng", "_hot", "_next_o", "_succ", *["_in_" + d for d in carry.values()])
 
 
 #: Ranges that a uniform hash is cut into, as leading bits.

@@ -24,14 +24,15 @@ def order_tokens(lineitem: DataFrame) -> DataFrame:
 
     Orders are small groups (a handful of lines), so the per-key array is
     bounded; the sort key makes the string deterministic because
-    ``l_linenumber`` alone is not unique inside an order.
+    ``l_linenumber`` alone is not unique inside an order.  Lines are dealt by
+    order before they are collected: a map-side pass would shorten nothing.
     """
     li = lineitem.select(
         "l_orderkey",
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                  "l_quantity", (F.col("l_suppkey") % 10).cast("string").alias("tok")).alias("s"))
-    return (li.groupBy("l_orderkey")
-            .agg(F.array_sort(F.collect_list("s")).alias("ss"))
+    return (li.repartition("l_orderkey").groupBy("l_orderkey")
+            .agg(F.sort_array(F.collect_list("s")).alias("ss"))
             .select("l_orderkey",
                     F.array_join(F.transform("ss", lambda s: s["tok"]), " ").alias("toks")))
 
@@ -41,7 +42,7 @@ def basket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     toks = order_tokens(table(spark, sf_dir, "lineitem"))
     o = orders.join(toks, orders.o_orderkey == toks.l_orderkey).drop("l_orderkey")
-    nxt = next_in_group(o, "o_custkey", "o_orderkey", {"o_orderkey": "nk", "toks": "nxt"})
+    nxt = next_in_group(o, "o_custkey", "o_orderkey", {"o_orderkey": "nk", "toks": "nxt"}, sizes=orders)
     return (nxt.where(F.col("nxt").isNotNull())
             .select(F.col("o_orderkey").alias("pair_id"),
                     F.col("o_custkey").alias("query_id"),
