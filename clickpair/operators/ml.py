@@ -13,9 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes)
-from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF, OneHotEncoder,  # noqa: F401
+from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF,  # noqa: F401
                                 PolynomialExpansion, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,12 +113,15 @@ def index_values(df: DataFrame, col: str, name: str = "index") -> DataFrame:
 
 
 def one_hot(df: DataFrame, col: str, out: str = "one_hot") -> DataFrame:
-    """``index_values`` joined back, then a sparse one-hot vector."""
+    """``index_values`` joined back, then a sparse one-hot vector, NULL where
+    the value is.  One more place than values, the last for unseen ones, as
+    ``OneHotEncoder`` has it with ``handleInvalid="keep"``; the encoder itself
+    names every place in the metadata of its column, on the driver."""
     idx = index_values(df, col, "_idx")
+    n = df.agg(F.count_distinct(col)).scalar()
     j = df.join(idx, col, "left").withColumn("_idx", F.col("_idx").cast("double"))
-    enc = OneHotEncoder(inputCols=["_idx"], outputCols=[out], dropLast=False,
-                        handleInvalid="keep").fit(j)
-    return enc.transform(j).withColumnRenamed("_idx", col + "_index")
+    hot = F.udf(lambda i, n: None if i is None else SparseVector(n + 1, [int(i)], [1.0]), VectorUDT())
+    return j.withColumn(out, hot("_idx", n.cast("int"))).withColumnRenamed("_idx", col + "_index")
 
 
 # ------------------------------------------------------------- matrices
