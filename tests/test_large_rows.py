@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from clickpair.operators import embed as EM
 from clickpair.operators import metrics as M
 from clickpair.operators import ml as ML
 from clickpair.operators.grouping import token_counts
@@ -58,3 +59,20 @@ def test_one_hot_names_no_places_on_the_driver(spark):
 def test_stored_features_are_not_worked_out_again(spark):
     for q in (Q.q_pca, Q.q_augment_shuffle):
         assert "lineitem" not in plan(q(spark, SF_MID)) and "l_orderkey" not in plan(q(spark, SF_MID))
+
+
+def test_small_word_tables_are_summed_in_their_batch(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "a b a x", "c", 5), (2, "", None, 6), (3, "x", "a", 7), (4, "b " * 50 + "c", "b", 8)],
+                              "pair_id long, query string, title string, label int")
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, -1.0]), ("c", [0.0, 3.0]), ("c", [1.0, 1.0]), (None, [9.0, 9.0]),
+                               ("x", None)], "word string, vector array<double>")
+    rows = lambda s: {r["pair_id"]: tuple(r) for r in s.collect()}
+    plain = rows(EM.sentence_sums(d, v, keep=["label"]).select("pair_id", "q_vec_sum", "q_n_known", "t_vec_sum", "t_n_known", "label"))
+    for most in (EM.MATRIX_BYTES, 100):                   # 100: tokens are looked up six at a time
+        monkeypatch.setattr(EM, "MATRIX_BYTES", most)
+        got = EM.sentence_sums(d, v, keep=["label"], unique=True)
+        assert "Aggregate" not in plan(got) and "Join" not in plan(got)
+        assert rows(got.select("pair_id", "q_vec_sum", "q_n_known", "t_vec_sum", "t_n_known", "label")) == plain
+    assert plain[1][1:3] == ([2.5, 3.0], 3) and plain[2][1:5] == (None, None, None, None) and plain[1][4] == 2
+    monkeypatch.setattr(EM, "MATRIX_BYTES", 16)           # one word: too large, tokens meet the table in a join
+    assert "Join" in plan(EM.sentence_sums(d, v, unique=True))
