@@ -1,8 +1,10 @@
 """Steps that large tables run through: what they read, and how often."""
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from clickpair.functions import vectors as V
 from clickpair.operators import embed as EM
 from clickpair.operators import metrics as M
 from clickpair.operators import ml as ML
@@ -76,3 +78,20 @@ def test_small_word_tables_are_summed_in_their_batch(spark, monkeypatch):
     assert plain[1][1:3] == ([2.5, 3.0], 3) and plain[2][1:5] == (None, None, None, None) and plain[1][4] == 2
     monkeypatch.setattr(EM, "MATRIX_BYTES", 16)           # one word: too large, tokens meet the table in a join
     assert "Join" in plan(EM.sentence_sums(d, v, unique=True))
+
+
+def test_distances_by_batch_equal_the_native_sums(spark):
+    rows = [(1, [1.0, 2.0, 1.5], [2.0, 1.0, 1.25]), (2, [1.0] * 5, [3.0] * 5), (3, None, [1.0]),
+            (5, [0.5, float("nan")], [1.0, 2.0]), (6, [1.0, 2.0], None), (7, [1.0, -2.0], [3.0, 1.0])]
+    d = spark.createDataFrame(rows, "id int, x array<double>, y array<double>")
+    needs = sorted({k for n in V.DISTANCES.values() for k in n[0]})
+    native = d.select("id", V.pair_sums("x", "y", needs).alias("s")).select("id", "s.*")
+    got = {r["id"]: r for r in V.with_distances(d, "x", "y", keep=["id"]).collect()}
+    plain = {r["id"]: r for r in native.collect()}
+    for i in (1, 2):
+        assert abs(got[i]["kullback_leibler"] - plain[i]["kl"]) < 1e-12 and abs(got[i]["manhattan"] - plain[i]["gap"]) < 1e-12
+    assert got[3]["manhattan"] is None and got[6]["euclidean"] is None and got[3]["cosine_w2v"] == 0.0
+    assert got[7]["kullback_leibler"] is None and got[7]["manhattan"] == 5.0
+    many = pa.array([v for _, v, _ in rows[:2]]), pa.array([v for _, _, v in rows[:2]])
+    for i, r in enumerate(V.positive_sums(*many, needs).to_pylist()):
+        assert all(abs(r[k] - plain[i + 1][k]) < 1e-12 for k in needs)
