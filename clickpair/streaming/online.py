@@ -7,7 +7,9 @@ before.  The weights live in a versioned table, one folder an epoch; epoch e
 starts from the newest version below e and writes version e, so a batch that is
 replayed after a failure replaces its own version with equal weights.
 
-The rows of a batch are dealt to ``steps`` mini-batches by hash.  Each step is
+The rows of a batch are dealt to ``steps`` mini-batches by hash.  A batch of at
+most ``TASK_ROWS`` rows is learned in one job by one task, in an order that its
+values alone decide.  In a larger one each step is
 one job: tasks sum the gradients of their rows, and the partial sums meet as
 decimals in a partial and a final aggregate, so the result does not depend on
 the order in which tasks end.  The driver holds one number per model column.
@@ -32,6 +34,8 @@ from clickpair.streaming.jobs import _stream_dir, _trigger, list_dir, stream_pat
 #: Fixed value of the reference's incremental model: L1 strength.
 ALPHA = 0.01
 RATE, STEPS, PASSES, KEEP = 0.5, 8, 2, 3
+#: Rows of a batch that one task learns from.
+TASK_ROWS = 50_000
 VERSION = "name string, weight double, squares double, rows long, loss double"
 #: Digits after the point that gradient sums keep.
 _EXACT = "decimal(38,14)"
@@ -94,11 +98,49 @@ def proximal_step(state: LinearState, gradient: np.ndarray, alpha: float, rate:
     return replace(state, weights=shrunk, squares=squares)
 
 
+def _learn_in_task(dealt: DataFrame, state: LinearState, alpha, rate, steps: int, passes: int) -> LinearState:
+    """``learn`` on the few rows (x, y, slot) of a small batch."""
+    d = len(state.weights) - 1
+
+    def work(batches):
+        found = [(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d), b.column(1).to_numpy(), b.column(2).to_numpy())
+                 for b in batches if len(b)]
+        if not found:
+            return
+        x, y, slot = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((*x.T, y, slot))
+        x, y, slot = x[order], y[order], slot[order]
+        now, lost = state, 0.0
+        for k in range(passes):
+            for m in range(steps):
+                a, b = x[slot == m], y[slot == m]
+                if not len(b):
+                    continue
+                z = a @ now.weights[:-1] + now.weights[-1]
+                miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - b
+                now = proximal_step(now, np.append(miss @ a, miss.sum()) / len(b), alpha, rate)
+                if k == 0:
+                    lost += float(np.sum(np.logaddexp(0, z) - b * z))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (now.weights, now.squares)]
+            + [pa.array([len(y)], pa.int64()), pa.array([lost], pa.float64())], ["weights", "squares", "n", "lost"])
+
+    got = dealt.select("x", "y", "slot").coalesce(1).mapInArrow(
+        work, "weights array<double>, squares array<double>, n long, lost double").collect()        # one row
+    if not got:
+        return state
+    r = got[0]
+    return replace(state, weights=np.array(r["weights"]), squares=np.array(r["squares"]), rows=state.rows + r["n"],
+                   loss=r["lost"] / r["n"])
+
+
 def learn(rows: DataFrame, state: LinearState, alpha: float = ALPHA, rate: float = RATE,
           steps: int = STEPS, passes: int = PASSES) -> LinearState:
     """``passes`` over ``rows`` (x, y), each of ``steps`` mini-batches."""
     dealt = rows.where("y is not null").withColumn("slot", F.pmod(F.xxhash64("x", "y"), F.lit(steps))).persist()
     try:
+        if dealt.count() <= TASK_ROWS:
+            return _learn_in_task(dealt, state, alpha, rate, steps, passes)
         seen, loss = 0, 0.0
         for k in range(passes):
             for m in range(steps):

@@ -1,5 +1,6 @@
 """Steps that large tables run through: what they read, and how often."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from clickpair.operators import ml as ML
 from clickpair.operators.grouping import token_counts
 from clickpair.operators.sequence import next_in_group
 from clickpair.plans import ml_queries as Q
+from clickpair.streaming import online
 from tests.conftest import SF_MID
 
 
@@ -95,3 +97,17 @@ def test_distances_by_batch_equal_the_native_sums(spark):
     many = pa.array([v for _, v, _ in rows[:2]]), pa.array([v for _, _, v in rows[:2]])
     for i, r in enumerate(V.positive_sums(*many, needs).to_pylist()):
         assert all(abs(r[k] - plain[i + 1][k]) < 1e-12 for k in needs)
+
+
+def test_small_batches_are_learned_in_one_task(spark, monkeypatch):
+    d = spark.range(700).select(*[((F.abs(F.xxhash64("id", F.lit(k))) % 1000) / 1000.0).alias(c) for k, c in enumerate("ab")])
+    rows = d.withColumn("label", (F.col("a") > F.col("b")).cast("int")).select(*online.feature_row(["a", "b"], "label"))
+    start, jobs = online.LinearState.zero(["a", "b"]), []
+    sums = online.gradient_sums
+    monkeypatch.setattr(online, "gradient_sums", lambda *a: jobs.append(1) or sums(*a))
+    one, again = online.learn(rows, start), online.learn(rows.repartition(5), start)
+    assert not jobs and np.array_equal(one.weights, again.weights) and one.loss == again.loss     # before: 16 jobs
+    monkeypatch.setattr(online, "TASK_ROWS", 100)
+    steps = online.learn(rows, start)
+    assert len(jobs) == online.STEPS * online.PASSES and steps.rows == one.rows == 700
+    assert np.allclose(steps.weights, one.weights, atol=1e-9) and abs(steps.loss - one.loss) < 1e-9
