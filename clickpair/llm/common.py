@@ -3,6 +3,7 @@ skew-safe joins and Arrow text batches."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -77,6 +78,29 @@ def let(value, body):
 
 # -- Arrow text batches -------------------------------------------------------
 
+#: Bytes of a batch on its way to Python; a longer row is a batch.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python hold about ``BATCH_BYTES`` at most, where the session sets
+    no bound of its own: 10,000 long texts would stand in the JVM's buffers and in the
+    worker at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def hand_back() -> None:
+    """Hand freed memory back to the system: Python workers are reused, and
+    what one stage held would count against the next.  Arrow's own pools keep
+    freed pages, so a worker's Arrow memory comes from the system's."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all rows, row offsets of length n + 1); null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import (_FOLD, components, hash_prefix, heavy_join, mix64, row_chunks,
+from clickpair.llm.common import (_FOLD, components, hand_back, hash_prefix, heavy_join, mix64, row_chunks,
                                   sized, span_hash, stored, text_buffer, word_spans)
 
 GRAM, PERCENT = 5, 80
@@ -94,6 +94,8 @@ def set_batches(batches, seen: set | None = None):
                         continue
                     seen.add(node)
                 yield batch, lo + i, own, node
+        del batch, buf, off
+        hand_back()
 
 
 def needed(na, nb):
@@ -150,6 +152,8 @@ def frequent_shingles(rows: DataFrame, blocks: int) -> np.ndarray:
                 held, size = [], 0
         if held:
             yield from pack(held)
+        del held
+        hand_back()
 
     def pack(held):
         token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -219,6 +223,8 @@ def shared_prefixes(rows: DataFrame, hot: np.ndarray, blocks: int) -> DataFrame:
                 tokens, nodes, places, size = [], [], [], 0
         if size:
             yield from pack(tokens, nodes, places)
+        del tokens, nodes, places
+        hand_back()
 
     def pack(tokens, nodes, places):
         token, node, place = map(np.concatenate, (tokens, nodes, places))

@@ -30,7 +30,6 @@ of a task, however long.
 
 from __future__ import annotations
 
-import ctypes
 import math
 import struct
 from bisect import bisect_right
@@ -43,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import LOWER, UPPER, discard, heavy_join, mix64, placed, ragged_index, stored, text_buffer
+from clickpair.llm.common import LOWER, UPPER, discard, hand_back, heavy_join, mix64, placed, ragged_index, stored, text_buffer
 
 MAX_WORDS, MIN_COUNT, TOP, CONTAINED_PERCENT = 3, 10, 2000, 50
 UNKNOWN = "und"
@@ -346,22 +345,12 @@ def _sequence(c: Counts, level: int, at: int) -> list[bytes]:
 SEGMENTS = "shard long, first array<binary>, automaton binary"
 
 
-def _release() -> None:
-    """Hand freed memory back to the system: Python workers are reused, and
-    what one stage held would count against the next.  Arrow's own pools keep
-    freed pages, so a worker's Arrow memory comes from the system's."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
-    if trim is not None:
-        trim(0)
-
-
 def _segment_batch(shard: int, c: Counts) -> Iterator[pa.RecordBatch]:
     for first, piece in c.segments(salt=shard):
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([first], pa.list_(pa.binary())), pa.array([dump(piece)], pa.binary())],
             ["shard", "first", "automaton"])
-    _release()
+    hand_back()
 
 
 def _slices(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -401,7 +390,7 @@ def shard_segments(docs: DataFrame, text_col: str, lang_col: str, shard_bytes: i
         return union(held) if held else None
 
     def run(batches):
-        _release()
+        hand_back()
         texts, size, shard = {}, 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, len(batch), SLICE_ROWS):
@@ -453,7 +442,7 @@ def _merged(fan: int, last: bool):
     """Unites the transducers of one range and ``fan`` shards, and cuts the
     union at the range's finer bounds unless it is the last."""
     def merge(key, table):
-        _release()
+        hand_back()
         c = union([load(b) for b in table["automaton"].to_pylist()])
         shard, own = key[0].as_py(), key[1].as_py()
         if last:
@@ -465,7 +454,7 @@ def _merged(fan: int, last: bool):
                         "range": pa.array([r for r, _ in done], pa.int64()),
                         "automaton": pa.array([dump(x) for _, x in done], pa.binary())})
         del c, done
-        _release()
+        hand_back()
         return out
     return merge
 
@@ -477,14 +466,14 @@ def routed(segments: DataFrame, ranges: Ranges) -> DataFrame:
     coarse = sorted(((r["child"], [bytes(x) for x in r["key"]]) for r in ranges.level(0).collect()), key=lambda x: x[1])
 
     def split(batches):                              # ``NARROW * fan`` bounds, whatever the input
-        _release()
+        hand_back()
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 done = list(_cut_to(load(blob), coarse, 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(done), pa.int64()), pa.array([r for r, _ in done], pa.int64()),
                      pa.array([dump(c) for _, c in done], pa.binary())], ["shard", "range", "automaton"])
-            _release()
+            hand_back()
 
     rows = segments.select("shard", "automaton").mapInArrow(split, AUTOMATA)
     for t in range(1, rounds + 1):

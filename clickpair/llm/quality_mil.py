@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickpair.llm.common import _FOLD, hash_prefix, row_chunks, span_hash, stored, text_buffer, word_spans
+from clickpair.llm.common import _FOLD, hand_back, hash_prefix, row_chunks, span_hash, stored, text_buffer, word_spans
 from clickpair.llm.toxicity import CUT, STEP_BYTES, held_out, training_rows
 
 PASSAGE_WORDS = 48
@@ -219,6 +219,8 @@ def with_scores(docs: DataFrame, model: dict, text_col: str = "text", name: str
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forward(shared.value, x, bag)["p"])],
                                                  [*part.schema.names, name])
+            batch = buf = off = x = bag = part = None
+            hand_back()
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 

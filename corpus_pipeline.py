@@ -20,10 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickpair.llm import jaccard, lines, packing, quality_mil, suffixes
-from clickpair.llm.common import documents, labels, sized, stored
+from clickpair.llm.common import bound_batches, documents, labels, sized, stored
 from clickpair.session import ship_package
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def _columns(changed: DataFrame, like: DataFrame) -> DataFrame:
     """``changed`` (text, rest) with the columns of ``like``."""
     kinds = dict(like.dtypes)
@@ -34,33 +39,33 @@ def _columns(changed: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     model = quality_mil.fit(docs, labels(spark, sf_dir))
     name = next(n for n in ("score", "quality_score", "quality_score_") if n not in docs.columns)
     return quality_mil.with_scores(docs, model, name=name).where(F.col(name) >= quality_mil.CUT).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     cut = lines.line_dedup(docs, carry=True)
     return _columns(cut.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines"))), docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     found = jaccard.jaccard_components(docs)
     gone = stored(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "near")
     return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     cut = suffixes.suffix_dedup(docs, keep="first", carry=True)
     return _columns(cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 

@@ -111,3 +111,19 @@ def test_small_batches_are_learned_in_one_task(spark, monkeypatch):
     steps = online.learn(rows, start)
     assert len(jobs) == online.STEPS * online.PASSES and steps.rows == one.rows == 700
     assert np.allclose(steps.weights, one.weights, atol=1e-9) and abs(steps.loss - one.loss) < 1e-9
+
+
+def test_long_texts_reach_python_in_bounded_batches(spark):
+    """However many long texts a partition holds, few bytes stand in a batch."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from clickpair.llm.common import BATCH_BYTES
+    corpus_pipeline._ready(spark)
+    texts = spark.range(2000).coalesce(1).selectExpr("repeat('x', 10000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 2000 and max(got) * 10_000 <= BATCH_BYTES + 20_000
