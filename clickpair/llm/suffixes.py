@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickpair.llm.common import hash_prefix, heavy_join, ragged_index, sized, span_hash, stored, text_buffer
+from clickpair.llm.common import (bound_batches, hand_back, hash_prefix, heavy_join, mix64, ragged_index, span_hash,
+                                  stored, text_buffer)
 
 WINDOW, GRAM = 200, 100
 WIDE = WINDOW - GRAM + 1               # grams in a window
@@ -94,6 +95,7 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def run_chunks(batches):
     """(ids, rows, first window, last window, anchor, context, bytes, context's place) per chunk;
     a batch's texts are let go before the next is read."""
+    hand_back()
     for batch in batches:
         buf, offsets = text_buffer(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -110,8 +112,8 @@ def run_chunks(batches):
             origin = start[lo:hi] - offsets[:-1][row[lo:hi]]
             yield ids, row[lo:hi][text], s0 + origin[text], s1 + origin[text], anchor, context, part, s0 + off[text]
             lo = hi
-        buf = part = None
-        pa.default_memory_pool().release_unused()
+        buf = part = text = s0 = s1 = anchor = context = None
+        hand_back()
 
 
 def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
@@ -127,11 +129,16 @@ def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from pack(held)
+        del held
+        hand_back()
 
     def pack(held):
         anchor, context, doc, s0 = (np.concatenate(x) for x in zip(*held))
         anchor, context, doc, s0, n = _first_of(anchor, context, doc, s0, np.ones(len(doc), np.int64))
-        block = ((anchor >> _U(32)) * _U(blocks)) >> _U(32)
+        # anchors are minima of hashes and so crowd at the low end: blocks are dealt by another hash
+        block = ((mix64(anchor) >> _U(32)) * _U(blocks)) >> _U(32)
+        order = np.argsort(block, kind="stable")
+        anchor, context, doc, s0, n, block = (x[order] for x in (anchor, context, doc, s0, n, block))
         at = np.searchsorted(block, np.arange(blocks + 1).astype(_U))
         s0, n = s0.astype(np.uint32), n.astype(np.uint32)
         for b, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
@@ -142,6 +149,7 @@ def repeated_runs(rows: DataFrame, blocks: int) -> DataFrame:
                     ["block", "anchors", "contexts", "docs", "places", "counts"])
 
     def settle(key, t):
+        hand_back()
         cat = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
         anchor, context, doc, s0, n = _first_of(
             cat("anchors", _U), cat("contexts", _U), cat("docs", np.int64),
@@ -331,6 +339,7 @@ def suffix_flags(contexts: DataFrame, blocks: int) -> DataFrame:
     """(context, earlier, other): offsets of the windows with an earlier copy,
     and with any copy, among the contexts of their anchor."""
     def run(key, t):
+        hand_back()
         t = t.sort_by([("doc_id", "ascending"), ("s0", "ascending")])
         data = t["bytes"].to_pylist()
         size = np.array([len(d) for d in data], np.int64)
@@ -413,6 +422,7 @@ def suffix_dedup(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", t
     and, on request, ``text`` (the remaining bytes, where a cut inside a
     character drops that character's rest) and ``rest``, a struct of the other
     columns."""
+    bound_batches(docs.sparkSession)
     others = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *([others.alias("rest")] if carry else []))
@@ -425,6 +435,7 @@ def suffix_dedup(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", t
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][:len(names)]
 
     def cut(batches):
+        hand_back()
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             raw = buf.tobytes()
@@ -437,6 +448,8 @@ def suffix_dedup(docs: DataFrame, keep: str = "first", id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)],
                  *([batch.column(4)] if carry else [])], ["doc_id", *names, *(["rest"] if carry else [])])
+            batch = buf = raw = left = out = cols = None
+            hand_back()
 
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
                                       + (", text string" if with_text else ""))

@@ -88,3 +88,19 @@ def test_hot_query_group_titles(spark):
     pdf = hot.select("pair_id", "query_id", "title").toPandas().sort_values("pair_id")
     for qid, g in pdf.groupby("query_id"):
         assert got[qid] == " ".join(g["title"].unique())
+
+
+def test_anchors_are_dealt_evenly(spark):
+    """Anchors are minima of hashes: dealt by their own high bits, half of all
+    runs met in one block, and so in one worker's memory."""
+    from clickpair.llm import suffixes
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghij "), 2000)) for _ in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffixes.repeated_runs(rows, 64).groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r.n for r in found]
+    assert sum(sizes) > 300 * 2 * 2000 / 101 and max(sizes) < 0.35 * sum(sizes)
