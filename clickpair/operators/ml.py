@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
-                                       NaiveBayes)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF,  # noqa: F401
                                 PolynomialExpansion, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickpair.functions.text import tokenize, word_tokens
-from clickpair.operators import blocklinear, boosting
+from clickpair.operators import blocklinear, boosting, perceptron
 from clickpair.operators.boosting import best_round  # noqa: F401
 from clickpair.operators.folds import HASH_BITS, seeded_hash, stratified_kfold
 from clickpair.operators.joins import heavy_join
@@ -223,8 +222,8 @@ def feature_importance(names: Sequence[str], gbt_model=None, lr_model=None) -> l
 
 def mlp(n_features: int, hidden: Sequence[int] = (64, 32), features: str = "features",
         label: str = "label", max_iter: int = 100, seed: int = 2019):
-    return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                          layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed)
+    """A perceptron to be fitted; see ``perceptron``."""
+    return perceptron.Perceptron([n_features, *hidden, 2], features, label, max_iter, seed=seed)
 
 
 def naive_bayes(features: str = "features", label: str = "label") -> NaiveBayes:

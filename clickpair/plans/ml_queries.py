@@ -34,7 +34,9 @@ def _text_terms(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    f = pair_feature_table(basket_pairs(spark, sf_dir))
+    """The pair features with their split.  Pairs and features are stored: means,
+    ranks and models read them again."""
+    f = written(pair_feature_table(written(basket_pairs(spark, sf_dir), "pairs")), "pair-features")
     f = stratified_kfold(f, 5, "pair_id", "label")
     return f.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
 
@@ -288,9 +290,10 @@ def q_train_text_linear(spark, sf_dir):
 @register("train_mlp")
 def q_train_mlp(spark, sf_dir):
     """#131 multilayer perceptron on the standardised pair features."""
-    f = _features(spark, sf_dir)
     names = feature_names()
-    s = cut_lineage(ML.assemble(ML.standardize(f, names), names, "features"))
+    f = written(_features(spark, sf_dir).select("pair_id", "split", "label", *names), "split-features")
+    s = written(ML.assemble(ML.standardize(f, names), names, "features").select(
+        "pair_id", "split", "label", "features"), "standardised")
     m = ML.mlp(len(names)).fit(s.where(F.col("split") == "train"))
     return ML.positive_probability(m.transform(s)).select("pair_id", "split", "label", "prediction")
 
