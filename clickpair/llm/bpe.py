@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpair.llm.common import (CHUNK_BYTES, hash_prefix, ragged_index,
+from clickpair.llm.common import (hand_back, hash_prefix, ragged_index,
                                   row_chunks, span_hash, text_buffer)
 
 LETTER, NUMBER, SPACE, OTHER, BREAK, SPECIAL = 1, 2, 3, 4, 5, 6
@@ -39,6 +39,9 @@ INF = np.int64(1) << np.int64(60)
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 REMEMBER = 1_000_000
 
+#: Text bytes of a numpy step, whose arrays take many times that; a longer text is a step.
+STEP_BYTES = 512 << 10
+
 
 def byte_symbols() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes in byte-level vocabularies: a
@@ -320,12 +323,15 @@ def broadcast_vocabulary(spark: SparkSession, path: str | None = None):
 
 def encoded_batches(batches, encoder: Encoder) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc ids, token ids, token offsets) of chunks of (id, text) batches."""
+    hand_back()
     for batch in batches:
         key = batch.column(0)
         buf, off = text_buffer(batch.column(1))
-        for lo, hi in row_chunks(off, CHUNK_BYTES):
+        for lo, hi in row_chunks(off, STEP_BYTES):
             ids, at = encoder.encode(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
             yield key.slice(lo, hi - lo), ids, at
+        batch = key = buf = off = ids = at = None
+        hand_back()
 
 
 def bpe_roundtrip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",

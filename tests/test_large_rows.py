@@ -127,3 +127,18 @@ def test_long_texts_reach_python_in_bounded_batches(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
     got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
     assert sum(got) == 2000 and max(got) * 10_000 <= BATCH_BYTES + 20_000
+
+
+def test_texts_are_encoded_in_small_steps(monkeypatch):
+    """A step's arrays take many times its texts: 2 MB a step before."""
+    import pyarrow as pa
+
+    from clickpair.llm import bpe
+    encoder, sizes = bpe.Encoder(bpe.Vocabulary(bpe.default_vocabulary())), []
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda buf, off: sizes.append(len(buf)) or encode(buf, off))
+    texts = [f"text {k} of words " * 600 for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["doc_id", "text"])
+    got = [ids[a:b].tolist() for _, ids, at in bpe.encoded_batches([batch], encoder) for a, b in zip(at[:-1], at[1:])]
+    assert max(sizes) <= 600_000 and sum(sizes) == sum(map(len, texts))
+    assert got[7] == encode(np.frombuffer(texts[7].encode(), "u1"), np.array([0, len(texts[7])]))[0].tolist()
