@@ -205,13 +205,13 @@ def q_train_lr_l1(spark, sf_dir):
 @register("train_lr_incremental")
 def q_train_lr_incremental(spark, sf_dir):
     """#127 incremental training as a stream: train-split features land in
-    files of about 5,000 rows, every micro-batch moves the weights and is
-    forgotten; the last weights score every row."""
+    files of about 5,000 rows, each an epoch that moves the weights and is
+    forgotten; a micro-batch takes up some of them.  The last weights score every row."""
     names = feature_names()
     f = cut_lineage(_features(spark, sf_dir))
     train = f.where(F.col("split") == "train").select("pair_id", "label", *names)
     landing, _ = online.landed(train, spark)
-    q, base = online.online_lr_stream(spark, landing, spark.read.parquet(landing).schema, names)
+    q, base = online.online_lr_stream(spark, landing, train.schema, names, file_epochs=online.FILES)
     q.awaitTermination()
     return online.scored(f, online.read_state(spark, base, names)).select("pair_id", "split", "label", "prediction")
 
@@ -226,12 +226,12 @@ def q_online_lr_check(spark, sf_dir):
     f = q_token_set_features(spark, sf_dir).withColumn("label", (F.col("query_len") > F.col("title_len")).cast("int"))
     f = cut_lineage(f.select("pair_id", "label", *names))
     landing, _ = online.landed(f, spark)
-    q, base = online.online_lr_stream(spark, landing, f.schema, names)
+    q, base = online.online_lr_stream(spark, landing, f.schema, names, file_epochs=online.FILES)
     q.awaitTermination()
     state = online.read_state(spark, base, names)
     kept = len(online._versions(spark, base))
     return auc(online.scored(f, state), "prediction", "label").select(
-        F.lit(state.epoch + 1).alias("n_epochs"), F.lit(state.rows).cast("long").alias("n_rows"),
+        F.lit(state.epochs).alias("n_epochs"), F.lit(state.rows).cast("long").alias("n_rows"),
         (F.col("auc") > 0.95).alias("learns"), F.lit(kept <= online.KEEP).alias("forgets"))
 
 

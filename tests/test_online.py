@@ -94,3 +94,32 @@ def test_missing_values_and_empty_batches(spark, d):
     got = online.learn_batch(spark.createDataFrame(d, SCHEMA), 0, base, NAMES)
     assert got.rows == (2 if d else 0) and np.all(np.isfinite(got.weights))
     assert online.read_state(spark, base, NAMES).rows == got.rows
+
+
+def test_many_files_of_a_micro_batch_are_epochs_each(spark, monkeypatch):
+    """One micro-batch of nine files ends with the weights of nine micro-batches."""
+    src = tempfile.mkdtemp(prefix="clickpair-online-src-")
+    for k in range(9):
+        d = rows(spark, 200, 1000 * k) if k != 4 else rows(spark, 60, 1000 * k).withColumn("label", F.lit(None).cast("int"))
+        d.coalesce(1).write.mode("append").parquet(src)
+    states, batches = [], []
+    inner = online.learn_batch
+
+    def counted(*a, **how):
+        batches.append(a[1])
+        return inner(*a, **how)
+    monkeypatch.setattr(online, "learn_batch", counted)
+    for run_rows, task_rows, how in ((0, 50_000, {}), (400_000, 50_000, {"file_epochs": 5}), (450, 50_000, {"file_epochs": 99}),
+                                     (400_000, 150, {"file_epochs": 99})):
+        monkeypatch.setattr(online, "RUN_ROWS", run_rows)
+        monkeypatch.setattr(online, "TASK_ROWS", task_rows)
+        q, base = online.online_lr_stream(spark, src, SCHEMA, NAMES, steps=4, **how)
+        q.awaitTermination()
+        states.append(online.read_state(spark, base, NAMES))
+        assert len(online._versions(spark, base)) <= online.KEEP
+    assert batches == [*range(9), 0, 1, 0, 0]
+    for s in states:
+        assert s.epochs == 9 and s.rows == 1600
+        assert np.allclose(s.weights, states[0].weights, rtol=0, atol=1e-9) and abs(s.loss - states[0].loss) < 1e-9
+    assert np.array_equal(states[1].weights, states[0].weights)
+    shutil.rmtree(src)
